@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.exprs import c, order_key
 from tabwright.session import plan_bytes
@@ -54,28 +55,28 @@ def ranked_by_hash(
     uniform hash, so even a group holding a third of the table spreads evenly.
     """
     digits = digits or hash_digits(df)
-    h = df.withColumn("__h", order_key(seed, *[c(k) for k in key]))
-    h = h.withColumn("__b", F.substring("__h", 1, digits))
-    return _ranked(h, [*by], "__b", [F.col("__h"), *[c(k) for k in key]], out).drop("__h", "__b")
+    h = df.withColumn("__hash_key", order_key(seed, *[c(k) for k in key]))
+    h = h.withColumn("__hash_bucket", F.substring("__hash_key", 1, digits))
+    return _ranked(h, [*by], "__hash_bucket", [F.col("__hash_key"), *[c(k) for k in key]], out).drop("__hash_key", "__hash_bucket")
 
 
 def _ranked(
     df: DataFrame, by: list[str], bucket: str, order: list[Column], out: str
 ) -> DataFrame:
-    sizes = df.groupBy(*[c(k) for k in by], bucket).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*[c(k) for k in by], bucket).agg(F.count(F.lit(1)).alias("__bucket_rows"))
     before = Window.partitionBy(*[c(k) for k in by]).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = sizes.select(
         *[c(k) for k in by],
         bucket,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+        F.coalesce(F.sum("__bucket_rows").over(before), F.lit(0)).alias("__rows_before"),
     )
     inside = Window.partitionBy(*[c(k) for k in by], bucket).orderBy(*order)
-    local = df.withColumn("__r", F.row_number().over(inside))
+    local = df.withColumn("__in_bucket", F.row_number().over(inside))
     return join_keys(local, offsets, [*by, bucket], "left").withColumn(
-        out, (F.col("__off") + F.col("__r")).cast("long")
-    ).drop("__off", "__r")
+        out, (F.col("__rows_before") + F.col("__in_bucket")).cast("long")
+    ).drop("__rows_before", "__in_bucket")
 
 
 def value_buckets(df: DataFrame, col: str, out: str, buckets: int = 512) -> DataFrame:
@@ -126,6 +127,15 @@ def running_before(
     ).drop("__in", "__off", "__vb")
 
 
+def whole_seconds(df: DataFrame, ts: str) -> Column:
+    """Seconds since 1970 that rise with ``ts``; zoneless time is not read through a time zone."""
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.unix_seconds(c(ts).cast("timestamp"))
+    gap = c(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + F.floor(part("SECOND"))
+
+
 def previous_in_time(
     df: DataFrame,
     by: Sequence[str],
@@ -142,7 +152,7 @@ def previous_in_time(
     """
     keys = [c(k) for k in by]
     d = df.withColumn("__st", state).withColumn(
-        "__tb", F.floor(F.unix_micros(c(ts)) / F.lit(bucket_seconds * 1_000_000))
+        "__tb", F.floor(whole_seconds(df, ts) / F.lit(bucket_seconds))
     )
     last = d.groupBy(*keys, "__tb").agg(
         F.max_by("__st", F.struct(c(ts), c(tie))).alias("__last")

@@ -87,14 +87,16 @@ def per_class_rates(cells: DataFrame) -> DataFrame:
     )
 
 
-def classification_metrics(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def classification_metrics(
+    pred: DataFrame, by: Sequence[str] = BY, macro: bool = False
+) -> DataFrame:
     """n, accuracy, kappa, sensitivity, specificity, ppv, npv, f1 per group.
 
-    At most two distinct labels: measures of class 1. More: macro averages,
-    with classes of undefined specificity or npv skipped.
+    At most two distinct labels: measures of class 1. More, or ``macro``: macro
+    averages, with classes of undefined specificity or npv skipped.
     """
     r = per_class_rates(class_cells(pred, by))
-    binary = F.count_if(F.col("tp") + F.col("fn") > 0) <= 2
+    binary = F.lit(not macro) & (F.count_if(F.col("tp") + F.col("fn") > 0) <= 2)
     positive = F.col("class") == 1
     n = F.max(F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).cast("double")
     po = F.sum("tp") / n

@@ -59,6 +59,7 @@ class Cells:
     count: np.ndarray
     radius: np.ndarray
     kth: np.ndarray  # inf where the cell has fewer than k points
+    k: int
 
     def splits(self, block: int) -> np.ndarray:
         return np.maximum(1, np.ceil(self.count / block)).astype(int)
@@ -112,7 +113,7 @@ def cell_facts(assigned: DataFrame, pivots: np.ndarray, k: int = 1) -> Cells:
         count[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
         if r["kth"] is not None:
             kth[r["cell"]] = r["kth"]
-    return Cells(pivots, count, radius, kth)
+    return Cells(pivots, count, radius, kth, k)
 
 
 def open_cells(queries: DataFrame, cells: Cells, radius: float | None) -> DataFrame:
@@ -127,9 +128,12 @@ def open_cells(queries: DataFrame, cells: Cells, radius: float | None) -> DataFr
                 continue
             d = distances(matrix(b["v"]), cells.pivots)
             if radius is None:
-                reach = (d + cells.kth).min(axis=1)
-                # too few points in every cell: everything stays open
-                reach = np.where(np.isfinite(reach), reach, np.inf)
+                # whole cells taken in by far edge until k points are sure
+                far = np.where(cells.count > 0, d + cells.radius, np.inf)
+                order = np.argsort(far, axis=1)
+                enough = np.cumsum(cells.count[order], axis=1) >= cells.k
+                whole = np.take_along_axis(far, order, axis=1)[np.arange(len(b)), enough.argmax(axis=1)]
+                reach = np.minimum((d + cells.kth).min(axis=1), whole)
             else:
                 reach = np.full(len(b), radius)
             low = d - cells.radius
@@ -166,7 +170,8 @@ def block_join(
     q = queries.withColumn("qs", F.pmod(F.xxhash64("id"), at(q_splits)).cast("int")).withColumn(
         "ps", F.explode(F.sequence(F.lit(0), at(p_splits) - 1))
     )
-    p = points.withColumn("ps", F.pmod(F.xxhash64("id"), at(p_splits)).cast("int")).withColumn(
+    # fresh column identities: both sides may come from one table
+    p = points.toDF(*points.columns).withColumn("ps", F.pmod(F.xxhash64("id"), at(p_splits)).cast("int")).withColumn(
         "qs", F.explode(F.sequence(F.lit(0), at(q_splits) - 1))
     )
     # blocks cost time, not bytes: a fixed partition count keeps them from being merged

@@ -8,7 +8,7 @@ from tabwright.operators import cluster_metrics as K
 from tabwright.operators import metrics as M
 from tabwright.queries.registry import query, rounded, table
 
-DIMS = 8
+DIMS = 64
 # the given label is the truth; the strongest of four directions is the cluster
 VEC_SQL = (
     "WITH e AS (SELECT vec_id, label, "

@@ -1 +1,352 @@
-"""."""
+"""Trained models over ``orders``, ``customer``, ``labels`` with ``documents``, and ``embeddings``.
+
+Quality is not judged here: the columns are synthetic. Each query trains, then
+returns predictions or measures for every row it should cover.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabwright.operators import clean as C
+from tabwright.operators import clustering as K
+from tabwright.operators import explain as E
+from tabwright.operators import models as MO
+from tabwright.operators import report as R
+from tabwright.operators import sampling as S
+from tabwright.operators import scale as X
+from tabwright.operators import scoring as SC
+from tabwright.operators import synth as Y
+from tabwright.operators import tuning as G
+from tabwright.plans.options import TrainingOptions
+from tabwright.plans.workflow import train
+from tabwright.queries.clusters import vectors
+from tabwright.queries.registry import query, rounded, table
+from tabwright.session import scratch_path
+
+FEATURES = ["o_totalprice", "c_acctbal", "nation", "priority"]
+
+
+def order_rows(spark, sf, classes: int = 2):
+    """Orders with their customer: is the order finished (2 classes), or its status (3)."""
+    o, cust = table(spark, sf, "orders"), table(spark, sf, "customer")
+    status = F.col("o_orderstatus")
+    label = (status == "F").cast("int") if classes == 2 else F.when(status == "F", 0).when(status == "O", 1).otherwise(2)
+    return o.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("row_id"),
+        label.alias("y"),
+        "o_totalprice",
+        "c_acctbal",
+        F.col("c_nationkey").cast("double").alias("nation"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+    )
+
+
+def document_rows(spark, sf):
+    """Labelled documents with simple text measures; classes are naturally unbalanced."""
+    text = F.col("text")
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
+        F.col("doc_id").alias("row_id"),
+        F.col("quality").alias("y"),
+        F.length(text).cast("double").alias("chars"),
+        (letters / F.greatest(F.length(text), F.lit(1))).alias("letters"),
+        F.size(F.split(text, r"\s+")).cast("double").alias("words"),
+        F.size(F.split(text, "\n")).cast("double").alias("lines"),
+    )
+
+
+DOC_FEATURES = ["chars", "letters", "words", "lines"]
+
+
+def split(df):
+    parts = S.stratified_split(df, "y", "row_id")
+    return parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
+
+
+def fitted(name, df, features, params=None, **kw):
+    """Predictions of every held-out row."""
+    tr, te = split(df)
+    tr, te = tr.persist(), te.persist()
+    model = MO.fit_model(name, tr, features, "y", "row_id", params, **kw)
+    return rounded(
+        model.predict(te, "row_id", ["y"]).select("row_id", "y", "prediction", F.col("prob")[1].alias("score")), 6
+    )
+
+
+@query("f1_random_forest")
+def random_forest(spark, sf):
+    return fitted("randomforest", document_rows(spark, sf), DOC_FEATURES, {"max_depth": 15})
+
+
+@query("f2_xgb_boosting")
+def xgb(spark, sf):
+    return fitted("xgboost", document_rows(spark, sf), DOC_FEATURES, {"n_estimators": 10})
+
+
+@query("f3_gradient_boosting")
+def gradient_boosting(spark, sf):
+    params = {"n_estimators": 20, "validation_fraction": 0.1, "subsample": 0.8}
+    return fitted("gradientboosting", document_rows(spark, sf), DOC_FEATURES, params)
+
+
+@query("f4_hist_gradient_boosting")
+def hist_boosting(spark, sf):
+    return fitted("histgradientboosting", order_rows(spark, sf, 3), FEATURES, {"max_iter": 5})
+
+
+@query("f5_bagging_trees")
+def bagging(spark, sf):
+    return fitted("bagging", document_rows(spark, sf), DOC_FEATURES, {"max_depth": 15})
+
+
+@query("f6_sgd_logistic")
+def sgd(spark, sf):
+    return fitted("sgdclassifier", order_rows(spark, sf), FEATURES)
+
+
+@query("f7_logistic_regression")
+def logistic(spark, sf):
+    return fitted("logisticregression", order_rows(spark, sf, 3), FEATURES)
+
+
+KNN_SQL = """
+WITH p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS a, c_nationkey / 5.0E0 AS b, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS y FROM customer),
+q AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS a, s_nationkey / 5.0E0 AS b FROM supplier),
+s AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM p),
+d AS (SELECT q.id AS q, p.id AS p, p.y, ((q.a - p.a) / (a1 - a0)) ^ 2 + ((q.b - p.b) / (b1 - b0)) ^ 2 AS d FROM q, p, s),
+n AS (SELECT q, y FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(d, 12), p) <= 5),
+v AS (SELECT q, y, count(*) AS n FROM n GROUP BY 1, 2)
+SELECT q AS row_id, CAST(min_by(y, -n * 100 + y) AS INT) AS prediction, round(max(n) / 5.0E0, 6) AS share FROM v GROUP BY 1
+"""
+
+
+@query("f8_k_neighbors", KNN_SQL)
+def knn(spark, sf):
+    cust, supp = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    seg = F.col("c_mktsegment")
+    code = F.when(seg == "AUTOMOBILE", 0).when(seg == "BUILDING", 1).when(seg == "FURNITURE", 2).when(seg == "HOUSEHOLD", 3).otherwise(4)
+    tr = cust.select(F.col("c_custkey").alias("row_id"), (F.col("c_acctbal") / 1000).alias("a"), (F.col("c_nationkey") / 5.0).alias("b"), code.alias("y"))
+    te = supp.select(F.col("s_suppkey").alias("row_id"), (F.col("s_acctbal") / 1000).alias("a"), (F.col("s_nationkey") / 5.0).alias("b"))
+    model = MO.fit_model("kneighbors", tr, ["a", "b"], "y", "row_id")
+    return rounded(
+        model.predict(te, "row_id").select("row_id", "prediction", F.array_max("prob").alias("share"))
+    )
+
+
+@query("f9_neural_network")
+def network(spark, sf):
+    return fitted("neuralnetwork", document_rows(spark, sf), DOC_FEATURES, {"hidden_layer_sizes": (20,), "max_iter": 100})
+
+
+VECTOR_FEATURES = [f"f{i}" for i in range(64)]
+
+
+def part_points(spark, sf):
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), (F.col("c_acctbal") / 1000).alias("a"), (F.col("c_nationkey") / 5.0).alias("b")
+    )
+
+
+@query("f10_kmeans")
+def kmeans(spark, sf):
+    return K.kmeans(X.minmax_scale(part_points(spark, sf), ["a", "b"]), ["a", "b"], "row_id", 3, n_init=2)[0]
+
+
+@query("f11_spectral_clustering")
+def spectral(spark, sf):
+    return K.spectral_clusters(vectors(spark, sf), VECTOR_FEATURES, "vec_id", 3)
+
+
+EPS = 0.2
+DENSITY_SQL = f"""
+WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS a, c_nationkey / 5.0E0 AS b FROM customer),
+e AS (SELECT x.id AS i, y.id AS j FROM p x, p y WHERE sqrt((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2) <= {EPS}),
+core AS (SELECT i AS id FROM e GROUP BY i HAVING count(*) >= 5),
+l AS (SELECT i, j FROM e WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
+r(id, root) AS (SELECT id, id FROM core UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.id WHERE r.root < l.j),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM c GROUP BY root HAVING count(*) >= 8)
+SELECT p.id AS row_id, CAST(coalesce(k.label, -1) AS INT) AS label FROM p LEFT JOIN c ON c.id = p.id LEFT JOIN k ON k.root = c.root
+"""
+
+
+@query("f12_density_clustering", DENSITY_SQL)
+def density(spark, sf):
+    return K.density_clusters(part_points(spark, sf), ["a", "b"], "row_id", EPS, min_cluster_size=8, min_samples=5)
+
+
+@query("f13_train_group")
+def group(spark, sf):
+    """A group with one unknown member: the others still report."""
+    rows = document_rows(spark, sf)
+    options = TrainingOptions(
+        class_column="y",
+        train_group=("logisticregression", "nosuchmodel", "randomforest"),
+        parameter_tune=False,
+        shap_feature_explainability=False,
+        folds=3,
+        model_params={"randomforest": {"n_estimators": 10, "max_depth": 6}},
+    )
+    return train(rows, options, "row_id").report
+
+
+@query("f13_train_group_clusters")
+def group_clusters(spark, sf):
+    options = TrainingOptions(
+        supervised=False,
+        train_group=("kmeans", "hdbscan"),
+        parameter_tune=False,
+        model_params={"hdbscan": {"cluster_selection_epsilon": 0.03, "min_cluster_size": 8}},
+    )
+    return train(part_points(spark, sf), options, "row_id").report
+
+
+@query("g3_cv_score_trials")
+def trials(spark, sf):
+    options = [{"trial": i, "C": v} for i, v in enumerate((0.1, 1.0, 10.0))]
+    rows = document_rows(spark, sf)
+    return rounded(G.cv_score_trials("logisticregression", rows, DOC_FEATURES, "y", "row_id", options, "f1_macro", 3))
+
+
+@query("g4_cluster_goal_score")
+def cluster_goals(spark, sf):
+    v = vectors(spark, sf)
+    rows = [
+        (goal, G.cluster_goal_score(v, VECTOR_FEATURES, goal))
+        for goal in ("silhouette_score", "calinski_harabasz_score", "davies_bouldin_score")
+    ]
+    return rounded(spark.createDataFrame(rows, "goal string, score double"))
+
+
+@query("a7_save_load_model")
+def save_load(spark, sf):
+    """Scores of the model read back, for every held-out row."""
+    tr, te = split(document_rows(spark, sf))
+    path = scratch_path(spark, "model")
+    MO.fit_model("logisticregression", tr, DOC_FEATURES, "y", "row_id").save(path, spark)
+    again = MO.FittedModel.load(path, spark)
+    return rounded(again.predict(te, "row_id").select("row_id", "prediction", F.col("prob")[1].alias("score")))
+
+
+@query("i1_shap_sampled")
+def shap_sampled(spark, sf):
+    tr, te = split(document_rows(spark, sf))
+    model = MO.fit_model("randomforest", tr, DOC_FEATURES, "y", "row_id", {"n_estimators": 10, "max_depth": 5})
+    return rounded(E.shap_values(model, tr, te, "row_id", n_background=5, n_permutations=2), 4)
+
+
+@query("i5_odds_ratios")
+def odds(spark, sf):
+    rows = document_rows(spark, sf)
+    model = MO.fit_model("logisticregression", rows, DOC_FEATURES, "y", "row_id")
+    default = E.odds_ratios(model, rows).withColumn("mode", F.lit("information"))
+    literal = E.odds_ratios(model, rows, "reference").withColumn("mode", F.lit("reference"))
+    return rounded(default.unionByName(literal))
+
+
+def two_models(spark, sf):
+    tr, te = split(document_rows(spark, sf))
+    root = scratch_path(spark, "models")
+    paths = {}
+    for name in ("logisticregression", "kneighbors"):
+        paths[name] = f"{root}/{name}"
+        MO.fit_model(name, tr, DOC_FEATURES, "y", "row_id").save(paths[name], spark)
+    return paths, te
+
+
+@query("k1_score_rows")
+def score_rows(spark, sf):
+    paths, te = two_models(spark, sf)
+    return rounded(SC.retest(spark, paths, te.drop("y"), "y"))
+
+
+@query("k2_retest_metrics")
+def retest_metrics(spark, sf):
+    tr, te = split(order_rows(spark, sf, 3))
+    models = [
+        MO.fit_model("logisticregression", tr, FEATURES, "y", "row_id"),
+        MO.fit_model("randomforest", tr, FEATURES, "y", "row_id", {"n_estimators": 5, "max_depth": 5}),
+    ]
+    return rounded(SC.retest_metrics(models, te, "y", "row_id"))
+
+
+@query("k3_retest")
+def retest(spark, sf):
+    paths, te = two_models(spark, sf)
+    paths["missing"] = paths["kneighbors"] + "-gone"
+    return rounded(SC.retest(spark, paths, te, "y", log=lambda m: None))
+
+
+@query("l2_fit_copula")
+def copula(spark, sf):
+    """The quantile table and correlation factor as rows."""
+    m = Y.fit_copula(document_rows(spark, sf), "y", DOC_FEATURES)
+    rows = [(int(k), n, m.quantiles[k][i], [float(v) for v in m.factor[k][i]]) for k in m.classes for i, n in enumerate(m.columns)]
+    return spark.createDataFrame(rows, "y int, column string, quantiles array<double>, factor array<double>")
+
+
+@query("l3_sample_conditional")
+def sample(spark, sf):
+    rows = document_rows(spark, sf)
+    wanted = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rounded(Y.sample_conditional(Y.fit_copula(rows, "y", DOC_FEATURES), wanted), 4)
+
+
+BALANCE_SQL = """
+WITH n AS (SELECT quality AS y, count(*) AS n FROM labels GROUP BY 1)
+SELECT y, n AS n_real, max(n) OVER () - n AS n_synthetic FROM n
+"""
+
+
+@query("l4_balance_with_synthetic", BALANCE_SQL)
+def balance(spark, sf):
+    rows = Y.balance_with_synthetic(document_rows(spark, sf), "y", DOC_FEATURES, "row_id")
+    return rows.groupBy("y").agg(
+        F.count_if(~F.col("is_synthetic")).alias("n_real"), F.count_if("is_synthetic").alias("n_synthetic")
+    )
+
+
+@query(
+    "l5_generate_new",
+    """
+SELECT quality AS y, CASE WHEN quality = 1 THEN (SELECT count(*) FROM labels) // 2
+       ELSE (SELECT count(*) FROM labels) - (SELECT count(*) FROM labels) // 2 END AS n FROM labels GROUP BY quality""",
+)
+def generate(spark, sf):
+    return Y.generate_new(document_rows(spark, sf), "y", DOC_FEATURES, "row_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j11_cluster_scatter")
+def scatter(spark, sf):
+    v = vectors(spark, sf)
+    coords = X.pca_2d(v, VECTOR_FEATURES, ["vec_id"])
+    labels = v.select("vec_id", F.col("cluster").alias("label"))
+    return rounded(R.cluster_scatter(coords, labels, "vec_id"), 4)
+
+
+def flagship(spark, sf):
+    """How well can "order is finished" be predicted? Profile, encode, split, scale, fit, report."""
+    o, cust = table(spark, sf, "orders"), table(spark, sf, "customer")
+    raw = o.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("row_id"),
+        F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("finished"),
+        "o_totalprice",
+        "c_acctbal",
+        F.col("o_orderpriority").alias("priority"),
+    )
+    spec = [
+        C.ColumnSpec("finished", "bool", is_class=True),
+        C.ColumnSpec("o_totalprice", "float"),
+        C.ColumnSpec("c_acctbal", "float"),
+        C.ColumnSpec("priority", "categorical"),
+    ]
+    prepared, _ = C.apply_spec(raw, spec)
+    options = TrainingOptions(
+        class_column="finished", train_group=("logisticregression",), parameter_tune=False, folds=3
+    )
+    return train(prepared, options, "row_id").report
+
+
+query("whole_report")(flagship)
+
