@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.exprs import c, order_key
-from tabwright.session import plan_bytes
+from tabwright.session import input_bytes, plan_bytes
 
-SMALL_PLAN_BYTES = 64 << 20
+SMALL_PLAN_BYTES = 4 << 20
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -36,9 +36,9 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def hash_digits(df: DataFrame) -> int:
-    """Hex digits for hash buckets, so that a bucket stays around 100 MB."""
-    wanted = max(1, plan_bytes(df) // (100 << 20))
-    return min(6, max(1, math.ceil(math.log(wanted, 16)) if wanted > 1 else 1))
+    """Hex digits for hash buckets: a bucket covers about 32 MB of input or less, at most 16^5 buckets."""
+    wanted = max(16, input_bytes(df) // (32 << 20))
+    return min(5, math.ceil(math.log(wanted, 16)))
 
 
 def ranked_by_hash(
@@ -97,13 +97,12 @@ def value_buckets(df: DataFrame, col: str, out: str, buckets: int = 512) -> Data
 
 def running_before(
     df: DataFrame,
-    value_col: str,
+    sums: dict[str, str],
     order_col: str,
     by: Sequence[str],
-    out: str,
     descending: bool = True,
 ) -> DataFrame:
-    """Sum of ``value_col`` over the rows strictly before each row.
+    """For each ``column -> name``: sum of the column over the rows strictly before each row.
 
     ``order_col`` must be distinct within a ``by`` group (group first).
     """
@@ -111,20 +110,21 @@ def running_before(
     way = (lambda x: F.col(x).desc()) if descending else (lambda x: F.col(x).asc())
     keys = [c(k) for k in by]
     prev = (Window.unboundedPreceding, -1)
-    totals = b.groupBy(*keys, "__vb").agg(F.sum(value_col).alias("__t"))
+    across = Window.partitionBy(*keys).orderBy(way("__vb")).rowsBetween(*prev)
+    inside = Window.partitionBy(*keys, "__vb").orderBy(way(order_col)).rowsBetween(*prev)
+    zero = F.lit(0)
+    totals = b.groupBy(*keys, "__vb").agg(*[F.sum(c(x)).alias(f"__t_{n}") for x, n in sums.items()])
     offsets = totals.select(
         *keys,
         "__vb",
-        F.coalesce(
-            F.sum("__t").over(Window.partitionBy(*keys).orderBy(way("__vb")).rowsBetween(*prev)),
-            F.lit(0),
-        ).alias("__off"),
+        *[F.coalesce(F.sum(f"__t_{n}").over(across), zero).alias(f"__off_{n}") for n in sums.values()],
     )
-    inside = Window.partitionBy(*keys, "__vb").orderBy(way(order_col)).rowsBetween(*prev)
-    local = b.withColumn("__in", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
-    return join_keys(local, offsets, [*by, "__vb"], "left").withColumn(
-        out, F.col("__in") + F.col("__off")
-    ).drop("__in", "__off", "__vb")
+    local = b.withColumns(
+        {f"__in_{n}": F.coalesce(F.sum(c(x)).over(inside), zero) for x, n in sums.items()}
+    )
+    joined = join_keys(local, offsets, [*by, "__vb"], "left")
+    out = joined.withColumns({n: c(f"__in_{n}") + c(f"__off_{n}") for n in sums.values()})
+    return out.drop("__vb", *[f"__{p}_{n}" for p in ("in", "off") for n in sums.values()])
 
 
 def whole_seconds(df: DataFrame, ts: str) -> Column:

@@ -108,7 +108,7 @@ def silhouette(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("total"))).alias("t_own"),
         F.min(F.when(F.col("cluster") != F.col("own"), F.col("total") / F.col("n"))).alias("b"),
     )
-    return _silhouette_of(wide.withColumn("a", F.col("t_own") / (F.col("n_own") - 1)))
+    return _silhouette_of(wide.withColumn("a", F.try_divide("t_own", F.col("n_own") - 1)))
 
 
 def _silhouette_of(d: DataFrame) -> DataFrame:

@@ -42,9 +42,8 @@ def confusion_matrix(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     )
 
 
-def class_cells(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """(by, class, tp, fn, fp, tn) one-vs-rest counts."""
-    cells = confusion_cells(pred, by)
+def class_cells(cells: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """(by, class, tp, fn, fp, tn) one-vs-rest counts from confusion cells."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     parts = cells.select(
         *_cols(by),
@@ -95,7 +94,14 @@ def classification_metrics(
     At most two distinct labels: measures of class 1. More, or ``macro``: macro
     averages, with classes of undefined specificity or npv skipped.
     """
-    r = per_class_rates(class_cells(pred, by))
+    return metrics_of_cells(confusion_cells(pred, by), by, macro)
+
+
+def metrics_of_cells(
+    cells: DataFrame, by: Sequence[str] = BY, macro: bool = False
+) -> DataFrame:
+    """``classification_metrics`` from confusion cells."""
+    r = per_class_rates(class_cells(cells, by))
     binary = F.lit(not macro) & (F.count_if(F.col("tp") + F.col("fn") > 0) <= 2)
     positive = F.col("class") == 1
     n = F.max(F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).cast("double")
@@ -135,8 +141,7 @@ def _score_steps(pred: DataFrame, by: Sequence[str]) -> DataFrame:
 def roc_curve(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """(by, threshold, fpr, tpr) at every distinct score, plus the (0,0) start (NULL threshold)."""
     steps = _score_steps(pred, by)
-    both = running_before(steps, "neg", "score", by, "neg_before")
-    both = running_before(both, "pos", "score", by, "pos_before")
+    both = running_before(steps, {"neg": "neg_before", "pos": "pos_before"}, "score", by)
     totals = steps.groupBy(*_cols(by)).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     points = join_keys(both, totals, by).select(
         *_cols(by),
@@ -153,15 +158,20 @@ def roc_curve(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return points.unionByName(start)
 
 
-def roc_auc(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL when one class is absent."""
-    steps = running_before(_score_steps(pred, by), "pos", "score", by, "pos_before")
+def area_of_steps(steps: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """(by, auc) from positives and negatives per distinct score."""
+    placed = running_before(steps, {"pos": "pos_before"}, "score", by)
     area = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2))
-    return steps.groupBy(*_cols(by)).agg(
+    return placed.groupBy(*_cols(by)).agg(
         safe_ratio(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
     )
 
 
+def roc_auc(pred: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Area under the ROC curve, ties counted half; NULL when one class is absent."""
+    return area_of_steps(_score_steps(pred, by), by)
+
+
 def roc_auc_ovr(pred: DataFrame, by: Sequence[str] = BY, prob: str = "prob") -> DataFrame:
     """Unweighted mean of one-vs-rest areas; NULL when any class has no rows."""
     long = pred.select(
@@ -205,11 +215,27 @@ def mean_and_error(col: Column) -> tuple[Column, Column]:
 CV_METRICS = ("auc", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1")
 
 
+def all_metrics(pred: DataFrame, by: Sequence[str], prob: str | None = None) -> DataFrame:
+    """Every measure per group.
+
+    With a score column both halves read one table of counts per (group, score,
+    label, prediction), so the predictions are scanned and shuffled once.
+    """
+    if prob is not None:
+        return join_keys(classification_metrics(pred, by), auc_any(pred, by, prob), by)
+    counts = pred.groupBy(*_cols(by), "score", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.groupBy(*_cols(by), "label", "prediction").agg(F.sum("n").alias("n"))
+    is_pos = F.col("label") == 1
+    steps = counts.groupBy(*_cols(by), "score").agg(
+        F.sum(F.when(is_pos, F.col("n")).otherwise(0)).alias("pos"),
+        F.sum(F.when(is_pos, 0).otherwise(F.col("n"))).alias("neg"),
+    )
+    return join_keys(metrics_of_cells(cells, by), area_of_steps(steps, by), by)
+
+
 def fold_metrics(pred: DataFrame, by: Sequence[str] = BY, prob: str | None = None) -> DataFrame:
     """All measures per (by, repeat, fold)."""
-    keys = [*by, "repeat", "fold"]
-    areas = roc_auc(pred, keys) if prob is None else auc_any(pred, keys, prob)
-    return join_keys(classification_metrics(pred, keys), areas, keys)
+    return all_metrics(pred, [*by, "repeat", "fold"], prob)
 
 
 def cross_validation_summary(folds: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -230,9 +256,7 @@ def train_test_metrics(
     pred: DataFrame, by: Sequence[str] = BY, prob: str | None = None
 ) -> DataFrame:
     """All measures per (by, dataset) in one grouped pass, with row counts."""
-    keys = [*by, "dataset"]
-    areas = roc_auc(pred, keys) if prob is None else auc_any(pred, keys, prob)
-    return join_keys(classification_metrics(pred, keys), areas, keys)
+    return all_metrics(pred, [*by, "dataset"], prob)
 
 
 class SpecificityEvaluator(Evaluator):

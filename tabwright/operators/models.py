@@ -239,7 +239,10 @@ def fit_model(
     if params.get("validation_fraction") and name in TREES:
         share = float(params["validation_fraction"])
         vec = ranked_by_hash(vec, seed, [row_id], by=["label"], out="__r")
-        vec = vec.withColumn("is_validation", F.pmod(F.col("__r"), F.lit(1000)) < share * 1000)
+        # evenly spaced ranks of each class, ⌊share·n⌋ of them
+        vec = vec.withColumn(
+            "is_validation", F.floor(F.col("__r") * share) > F.floor((F.col("__r") - 1) * share)
+        )
     ready = vec.select(
         F.col("label").cast("double").alias("label"),
         array_to_vector(F.col("v")).alias("features"),

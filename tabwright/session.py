@@ -72,10 +72,19 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, without running it.
 
-    The estimate errs upwards (aggregates count as large as their input), so a
-    small answer can be trusted to be small.
+    The estimate errs upwards (an aggregate counts as large as its input, a join
+    as the product), so a small answer can be trusted to be small.
     """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return 1 << 62
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables a plan reads: a guide for partition counts, not a bound."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:
+        return 1 << 40

@@ -75,7 +75,9 @@ def stream_changes(updates: DataFrame, idle: str = "1 hour") -> DataFrame:
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 3_600_000)
         yield rows.iloc[keep]
 
-    ordered = updates.select("job", "ts", "seq", "state", *STATE).withWatermark("ts", idle)
+    ordered = updates.select(
+        "job", F.col("ts").cast("timestamp").alias("ts"), "seq", "state", *STATE
+    ).withWatermark("ts", idle)
     return ordered.groupBy("job").applyInPandasWithState(
         step, EMITTED, "last string, ended boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
