@@ -77,6 +77,31 @@ def read_table_csv(
     return infer_text_types(text)
 
 
+# Encodings Spark reads itself, under its names.
+NATIVE_ENCODINGS = {
+    "utf-8": "utf-8",
+    "utf-8-sig": "utf-8",
+    "ascii": "utf-8",
+    "utf-16": "utf-16",
+    "utf-16le": "utf-16le",
+    "utf-16be": "utf-16be",
+    "utf-32": "utf-32",
+    "iso-8859-1": "iso-8859-1",
+    "latin-1": "iso-8859-1",
+}
+
+
+def redecode(df: DataFrame, encoding: str) -> DataFrame:
+    """Text that was read byte by byte (iso-8859-1), decoded again in its true encoding."""
+
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.str.encode("latin-1").str.decode(encoding)
+
+    names = [x.encode("latin-1").decode(encoding) for x in df.columns]
+    return df.select(*[decode(c(x)).alias(n) for x, n in zip(df.columns, names, strict=True)])
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV below ``path`` in its own encoding; one read per encoding found."""
     by_encoding = (
@@ -84,10 +109,11 @@ def read_csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     )
     out: DataFrame | None = None
     for row in by_encoding.orderBy("encoding").collect():
-        name = {"utf-8-sig": "utf-8", "utf-16": "UTF-16", "ascii": "utf-8"}.get(
-            row["encoding"].lower(), row["encoding"]
-        )
-        part = read_table_csv(spark, row["p"], name, clean_tokens=False)
+        found = row["encoding"].lower()
+        name = NATIVE_ENCODINGS.get(found)
+        part = read_table_csv(spark, row["p"], name or "iso-8859-1", clean_tokens=False)
+        if name is None:
+            part = redecode(part, found)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(path)
