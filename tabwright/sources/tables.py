@@ -61,12 +61,14 @@ def read_table_csv(
     Give ``schema`` in production: inference reads the text twice. Missing-value
     texts become NULL before types are inferred, except in a given schema.
     """
+    # line ends of wide characters cannot be found by single bytes
+    wide = (encoding or "").lower().startswith(("utf-16", "utf-32"))
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding or "utf-8")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multiline)
+        .option("multiLine", multiline or wide)
     )
     paths = [path] if isinstance(path, str) else list(path)
     if schema is not None:
