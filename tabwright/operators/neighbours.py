@@ -200,8 +200,14 @@ def nearest(
     ``queries(id, v)``, ``points(id, v[, payload])``; ordered by squared distance,
     then point id.
     """
-    if points.count() < k:
+    if points.limit(k).count() < k:
         raise ValueError(f"{k} neighbours asked of fewer points")
+    # of equal points only the k smallest ids can be answers; equal queries share one answer.
+    # The rank limit works before the shuffle, so a spot holding a third of the rows stays small.
+    spot = Window.partitionBy("v").orderBy("id")
+    points = points.withColumn("__i", F.row_number().over(spot)).where(F.col("__i") <= k).drop("__i")
+    everyone = queries.select(F.col("id").alias("query_id"), "v")
+    queries = queries.groupBy("v").agg(F.min("id").alias("id"))
     pivots = choose_pivots(points)
     assigned = assign_cells(points, pivots)
     cells = cell_facts(assigned, pivots, k)
@@ -234,11 +240,24 @@ def nearest(
 
     found = block_join(asked, assigned.select("id", "v", "cell", *extra), cells.splits(block), kernel, schema, block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "point_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    spots = queries.select(F.col("id").alias("query_id"), "v")
+    answers = best.join(spots, "query_id").drop("query_id")
+    return everyone.join(answers, "v").drop("v").select(*names, "rank")
+
+
+def merge_equal(points: DataFrame) -> DataFrame:
+    """(id, v, w): one row per spot, with the smallest id and the number of points there."""
+    return points.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
 
 
 def count_within(points: DataFrame, radius: float, block: int = BLOCK_ROWS) -> DataFrame:
-    """(id, n): points within ``radius`` of each point, itself included."""
+    """(id, n): points within ``radius`` of each point, itself included.
+
+    A column ``w`` gives the number of points a row stands for (default 1).
+    """
+    if "w" not in points.columns:
+        points = points.withColumn("w", F.lit(1).cast("long"))
     pivots = choose_pivots(points)
     assigned = assign_cells(points, pivots)
     cells = cell_facts(assigned, pivots)
@@ -248,10 +267,12 @@ def count_within(points: DataFrame, radius: float, block: int = BLOCK_ROWS) -> D
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "n": []})
         near = distances(matrix(a["v"]), matrix(b["v"])) <= radius
-        return pd.DataFrame({"id": a["id"], "n": near.sum(axis=1)})
+        return pd.DataFrame({"id": a["id"], "n": near @ b["w"].to_numpy(dtype="int64")})
 
     asked = open_cells(points.select("id", "v"), cells, radius)
-    found = block_join(asked, assigned.select("id", "v", "cell"), cells.splits(block), kernel, f"id {kind}, n bigint", block)
+    found = block_join(
+        asked, assigned.select("id", "v", "cell", "w"), cells.splits(block), kernel, f"id {kind}, n bigint", block
+    )
     return found.groupBy("id").agg(F.sum("n").alias("n"))
 
 

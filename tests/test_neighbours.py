@@ -67,6 +67,13 @@ def test_long_chain_is_one_component(spark):
     assert out.agg(F.min("component"), F.max("component")).first()[:] == (0, 0)
 
 
+def test_equal_rows_share_a_cluster(spark):
+    rows = [(i, 1.0 if i < 60 else float(i), 0.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    labels = {r["id"]: r["label"] for r in C.density_clusters(df, ["x", "y"], "id", 0.5, 5, 5).collect()}
+    assert labels == {i: (0 if i < 60 else -1) for i in range(90)}
+
+
 def blobs(spark, seed=0):
     rng = np.random.default_rng(seed)
     x = np.vstack([rng.normal(0, 0.3, (25, 2)), rng.normal(4, 0.3, (25, 2))])
