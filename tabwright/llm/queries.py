@@ -92,3 +92,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from tabwright.llm.bpe import encoding_digests
 
     return encoding_digests(table(spark, sf, "documents"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwright.llm.quality_rules import quality_rules
+
+    trusted = table(spark, sf, "labels").where("quality = 1").selectExpr("doc_id AS id")
+    return quality_rules(table(spark, sf, "documents"), trusted)
