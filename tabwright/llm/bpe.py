@@ -19,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tabwright.functions.exprs import c
 from tabwright.llm.text import id_and_text, slices
 
 #: Fixed value: the pattern that splits a text before the merges of a byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 200_000
+KEPT_WORDS = 450_000
 KEPT_PAIRS = 500_000
 LONGEST_KEPT = 64
 
@@ -292,7 +294,7 @@ def mapped(docs: DataFrame, vocab: str | None, columns: str, rows, id_col: str,
 
 
 def encode_texts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded) of every row: token ids and the text decoded from them.
+    """(id, ids array<int>, round_trip) of every row: token ids, and whether decoding them gives the text back.
 
     A null text is empty; an empty text has no ids; repeated rows are encoded
     each; other columns stay behind. ``vocab`` is a byte-level vocabulary file
@@ -300,10 +302,27 @@ def encode_texts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     """
 
     def rows(e: Encoder, texts: Iterable[str]) -> dict[str, pa.Array]:
-        ids = [e.encode(t) for t in texts]
-        return {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array([e.v.decoded_text(x).decode() for x in ids], pa.string())}
+        ids, same = [], []
+        for t in texts:
+            ids.append(e.encode(t).astype(np.int32))
+            same.append(e.v.decoded_text(ids[-1]) == t.encode())
+        return {"ids": pa.array(ids, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())}
+
+    return mapped(docs, vocab, "ids array<int>, round_trip boolean", rows, id_col, text_col)
+
+
+def decode_ids(encoded: DataFrame, vocab: str | None = None, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) of every row of ids; null ids give an empty text, ids outside the vocabulary an error."""
+    shipped = Shipped(encoded.sparkSession, vocab or default_path())
+    d = encoded.select(c(id_col).alias("id"), F.coalesce(c(ids_col), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shipped.encoder().v
+        for batch in batches:
+            texts = [v.decoded_text(np.array(x, np.int64)).decode() for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.string())], ["id", "text"])
 
-    return mapped(docs, vocab, "ids array<int>, decoded string", rows, id_col, text_col)
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, text string")
 
 
 def encoding_digests(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

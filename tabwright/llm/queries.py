@@ -100,3 +100,31 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
     trusted = table(spark, sf, "labels").where("quality = 1").selectExpr("doc_id AS id")
     return quality_rules(table(spark, sf, "documents"), trusted)
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwright.llm.crf import language_report
+
+    return language_report(table(spark, sf, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwright.llm.rules import quality_scores
+
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwright.llm.maxent import lm_report
+
+    return lm_report(table(spark, sf, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
