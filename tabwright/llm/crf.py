@@ -159,7 +159,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 12, rate: float =
     number = {x: i for i, x in enumerate(labels)}
     L = len(labels)
     joined = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    offsets = np.cumsum([0, *map(len, texts)])
     w = letters_of(joined, offsets)
     y_text = np.array([number[x] for x in langs], np.int64)
     rng = np.random.default_rng(seed)

@@ -139,3 +139,21 @@ def op9(docs, tokenizer):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         out.append((doc_id, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
     return out
+
+
+def op1(docs):
+    import math
+    from collections import Counter
+
+    def tokens(text):
+        return [*SOLID.findall((text or "").translate(LOWER)), None]
+
+    def out_of(doc_id):
+        return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+
+    seen = Counter(t for i, text in docs if not out_of(i) for t in tokens(text))
+    n, v = sum(seen.values()), len(seen)
+    return [
+        (i, out_of(i), len(t), sum(x in seen for x in t), n, sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in t))
+        for i, t in ((i, tokens(text)) for i, text in docs)
+    ]
