@@ -242,14 +242,19 @@ SAFE_SPACE = regex.compile(rf"(?<=[^ {BLANKS}{WIDE_BLANKS}]) (?=[^ {BLANKS}{WIDE
 BESIDE = tuple(x for b in BLANKS for x in (f" {b}", f"{b} ")) + ("  ",)
 
 
+def split_at_spaces(text: str) -> list[str]:
+    """The text cut at single spaces between solid characters, those spaces left out."""
+    plain = text[:1] != " " and text[-1:] != " " and not any(b in text for b in BESIDE)
+    if plain and not text.isascii():
+        plain = not any(b in text for b in WIDE_BLANKS)
+    return text.split(" ") if plain else SAFE_SPACE.split(text)
+
+
 def cut_at_spaces(text: str) -> list[str]:
     """Pieces that add up to the text; each but the first starts with the space it was cut before."""
     if not text:
         return []
-    plain = text[0] != " " and text[-1] != " " and not any(b in text for b in BESIDE)
-    if plain and not text.isascii():
-        plain = not any(b in text for b in WIDE_BLANKS)
-    parts = text.split(" ") if plain else SAFE_SPACE.split(text)
+    parts = split_at_spaces(text)
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.bpe import LONGEST_KEPT, cut_at_spaces, default_path
+from tabwright.llm.bpe import LONGEST_KEPT, default_path, split_at_spaces
 from tabwright.llm.text import id_and_text, slices
 from tabwright.session import scratch_path
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 800_000
+#: marks that end a word and start a token of their own
+MARKS = '.,;:!?|"'
 END_ID = 2
 #: control byte -> the byte counts of its four values
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
@@ -54,11 +57,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def pack_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ids in rank order, control, data); the commonest id has rank 0, equal counts go by id."""
-    known, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -count))
-    rank = np.empty(len(known), np.uint32)
-    rank[order] = np.arange(len(known), dtype=np.uint32)
-    return known[order].astype("<u4").tobytes(), *pack(rank[place])
+    count = np.bincount(ids)
+    known = np.flatnonzero(count)
+    ranked = known[np.argsort(-count[known], kind="stable")]
+    rank = np.zeros(len(count), np.uint32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
+    return ranked.astype("<u4").tobytes(), *pack(rank[ids])
 
 
 def unpack_block(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -66,7 +70,12 @@ def unpack_block(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarr
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each piece between spaces that a worker has not seen lately."""
+    """The tokenizers library, asked once for each word that a worker has not seen lately.
+
+    A text falls into pieces at single spaces; a piece falls into words at single
+    line breaks, and a word of letters sheds the marks behind it. The vocabulary's
+    splitting pattern cuts at all those places too, so the ids simply add up.
+    """
 
     def __init__(self, text: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,24 +83,72 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(text)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        #: ids of a piece after a space, and of a piece without one
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def parts(self, piece: str, spaced: bool) -> list[tuple[str, bool]]:
+        """Smaller pieces (and whether a space stands before each) with the same ids; the piece alone if it has none."""
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                rest = [y for x in lines[1:] for y in (("\n", False), (x, False))]
+                return [(lines[0], spaced), *rest]
+        elif len(piece) > 1:
+            head = piece.rstrip(MARKS)
+            if len(head) < len(piece) and head.isalpha():
+                return [(head, spaced), (piece[len(head) :], False)]
+        return [(piece, spaced)]
+
+    def learn(self, pieces: list[tuple[str, bool]]) -> None:
+        """Adds the ids of pieces to the kept ones."""
+        kept = (self.bare, self.spaced)
+        made_of: list[tuple[str, bool, list]] = []
+        atoms: set[tuple[str, bool]] = set()
+        todo = list(pieces)
+        while todo:
+            piece, spaced = todo.pop()
+            if piece in kept[spaced]:
+                continue
+            parts = self.parts(piece, spaced)
+            if len(parts) == 1:
+                atoms.add((piece, spaced))
+            else:
+                made_of.append((piece, spaced, parts))
+                todo += parts
+        some = list(atoms)
+        for (piece, spaced), e in zip(some, self.tokenizer.encode_batch([" " + p if s else p for p, s in some], add_special_tokens=False), strict=True):
+            kept[spaced][piece] = array("I", e.ids).tobytes()
+        for piece, spaced, parts in reversed(made_of):
+            kept[spaced][piece] = b"".join([kept[s][p] for p, s in parts])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        #: a text that spells a special token is one piece
-        pieces = [[t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
-        seen = set().union(*pieces)
-        kept = self.kept
-        fresh = [p for p in seen if p not in kept]
-        if len(kept) + len(fresh) > KEPT_PIECES:
-            kept.clear()
-            fresh = list(seen)
-        made = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        kept.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, made, strict=True))
-        out = [b"".join(map(kept.__getitem__, p)) for p in pieces]
-        for p in fresh:
-            if len(p) > LONGEST_KEPT:
-                del kept[p]
+        if len(self.spaced) + len(self.bare) > KEPT_PIECES:
+            self.spaced.clear()
+            self.bare.clear()
+        firsts, rests, fresh = [], [], set()
+        for t in texts:
+            #: a text that spells a special token is one piece
+            parts = [t] if any(s in t for s in self.special) else split_at_spaces(t)
+            first, rest = parts[0], parts[1:]
+            got = list(map(self.spaced.get, rest))
+            if None in got:
+                fresh.update([(p, True) for p, g in zip(rest, got, strict=True) if g is None])
+                got = None
+            if first not in self.bare:
+                fresh.add((first, False))
+            firsts.append(first)
+            rests.append((got, rest))
+        if fresh:
+            self.learn(list(fresh))
+        out = [
+            b"".join([self.bare[first], *(got if got is not None else map(self.spaced.__getitem__, rest))])
+            for first, (got, rest) in zip(firsts, rests, strict=True)
+        ]
+        for piece, spaced in fresh:
+            if len(piece) > LONGEST_KEPT:
+                del (self.spaced if spaced else self.bare)[piece]
         return out
 
 
