@@ -9,6 +9,7 @@ from tabwright.llm.bpe import encode_texts
 from tabwright.llm.crf import UNKNOWN, fit_language_model, language_of
 from tabwright.llm.golay import one_of_each
 from tabwright.llm.secrets import redacted
+from tabwright.llm.text import kept_column
 from tabwright.llm.wumanber import benchmark_spans
 from tabwright.session import scratch_path
 
@@ -17,7 +18,7 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def kept_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    return found.select(*[kept_column(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.exprs import c
-from tabwright.llm.text import Words, buffer_of, byte_table, id_and_text, mixed, slices, words_of
+from tabwright.llm.text import Words, buffer_of, byte_table, carried, ddl, mixed, slices, with_kept, words_of
 
 BITS = 15
 SIZE = 1 << BITS
@@ -233,7 +233,7 @@ def labelling(shipped, runs: bool):
         L = len(m.labels)
         plain = np.zeros(256, bool)
         plain[[*range(65, 91), *range(97, 123)]] = True
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             data, offsets = buffer_of(batch["text"])
             w, gamma = m.label_words(data, offsets)
             total = np.concatenate([np.zeros((1, L)), np.cumsum(gamma, 0)])
@@ -247,7 +247,7 @@ def labelling(shipped, runs: bool):
                 known = L and (sure[d] or has_letter(data[offsets[d] : offsets[d + 1]].tobytes()))
                 langs.append(m.labels[best[d]] if known else UNKNOWN)
                 scores.append(float(min(1.0, max(0.0, share[d, best[d]]))) if known else 0.0)
-            names = [x for x in batch.schema.names if x != "text"]
+            names = carried(batch.schema.names)
             made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if runs:
                 made.append(pa.array(list(word_runs(w, gamma, m.labels)), RUNS))
@@ -298,17 +298,16 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def language_of(docs: DataFrame, model: Model, *keep: str, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """(id, keep_..., lang_pred, score) of every row, with ``runs`` also the labelled word stretches.
+    """(id, kept columns, lang_pred, score) of every row (see text.kept_column), with ``runs`` also the labelled word stretches.
 
     ``lang_pred`` is ``und`` with score 0 for a null text, one without a letter,
     or a model without labels. Repeated rows get equal answers; columns besides
     the id, the text and ``keep`` are not read.
     """
-    d = id_and_text(docs, id_col, text_col, *[c(k).alias(f"keep_{k}") for k in keep])
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
+    d = with_kept(docs, id_col, text_col, keep)
     more = ", runs array<struct<label:string,start:bigint,end:bigint>>" if runs else ""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return d.mapInArrow(labelling(shipped, runs), f"{rest}, lang_pred string, score double{more}")
+    return d.mapInArrow(labelling(shipped, runs), f"{ddl(d)}, lang_pred string, score double{more}")
 
 
 def held_out(id_col: Column, mod: int) -> Column:

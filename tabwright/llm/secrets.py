@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.exprs import c
-from tabwright.llm.text import buffer_of, id_and_text, slices
+from tabwright.llm.text import buffer_of, carried, ddl, kept_column, slices, with_kept
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: The known formats. Bytes patterns, so "either case" means ASCII letters only.
@@ -137,20 +136,19 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.sort(key=lambda s: (s["start"], rank[s["kind"]], s["end"]))
             out.append(found)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        names = [n for n in batch.schema.names if n != "text"]
+        names = carried(batch.schema.names)
         yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(out, kind)], [*names, "spans"])
 
 
 def secret_spans(docs: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_..., spans) of every row; spans are (kind, start, end) in code points, by start, then kind.
+    """(id, kept columns, spans) of every row (see text.kept_column); spans are (kind, start, end) in code points, by start, then kind.
 
     Kinds are assign, access and hex (known formats) and entropy (the method's
     own, never overlapping a known one). A null or empty text has none; repeated
     rows are scanned each; only the id, the text and ``keep`` are read.
     """
-    d = id_and_text(docs, id_col, text_col, *[c(k).alias(f"keep_{k}") for k in keep])
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
-    return d.mapInArrow(scan, f"{rest}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    d = with_kept(docs, id_col, text_col, keep)
+    return d.mapInArrow(scan, f"{ddl(d)}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def said(spans) -> F.Column:
@@ -174,11 +172,9 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", te
     Overlapping spans are replaced together. Columns and their order are kept; a
     null text stays null.
     """
-    keep = [x for x in docs.columns if x not in (id_col, text_col)]
-    raw = docs.select(*[c(x) for x in docs.columns], c(text_col).alias("__whole"))
-    found = secret_spans(raw, *keep, "__whole", id_col=id_col, text_col=text_col)
+    found = secret_spans(docs, *docs.columns, id_col=id_col, text_col=text_col)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    whole = F.col("keep___whole")
+    whole = F.col("text").cast("string")
 
     def step(a, s):
         text = F.concat(a["done"], F.substring(whole, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit(mark))
@@ -186,6 +182,5 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", te
         return F.struct(F.when(fresh, text).otherwise(a["done"]).alias("done"), F.greatest(a["at"], s["end"]).alias("at"))
 
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["done"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    text = F.when(F.size("spans") > 0, done).otherwise(whole)
-    names = {id_col: F.col("id"), text_col: text} | {k: c(f"keep_{k}") for k in keep}
-    return found.select(*[names[x].alias(x) for x in docs.columns])
+    text = F.when(F.size("spans") > 0, done).otherwise(kept_column(text_col, text_col)).alias(text_col)
+    return found.select(*[text if x == text_col else kept_column(x, text_col) for x in docs.columns])

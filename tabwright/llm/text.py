@@ -27,6 +27,30 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(c(id_col).alias("id"), text.alias("text"), *more)
 
 
+def with_kept(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """id_and_text plus ``keep_...`` columns. The text itself is kept by travelling once: ``gone`` marks null ones."""
+    more = [c(k).alias(f"keep_{k}") for k in keep if k != text_col]
+    if text_col in keep:
+        more.append(c(text_col).isNull().alias("gone"))
+    return id_and_text(docs, id_col, text_col, *more)
+
+
+def kept_column(name: str, text_col: str = "text") -> Column:
+    """A column kept by with_kept under its own name."""
+    return (F.when(~F.col("gone"), F.col("text").cast("string")) if name == text_col else c(f"keep_{name}")).alias(name)
+
+
+def carried(names: list[str]) -> list[str]:
+    """Columns a scan passes on: the text only where it is to be kept."""
+    return [n for n in names if n != "text" or "gone" in names]
+
+
+def ddl(d: DataFrame) -> str:
+    """Schema text of the columns a scan passes on."""
+    names = set(carried(d.columns))
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts batches to about ``size`` text bytes; a single longer text is a slice of its own."""
     for batch in batches:

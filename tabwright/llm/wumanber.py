@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.exprs import c
-from tabwright.llm.text import Words, buffer_of, byte_table, id_and_text, mixed, slices, words_of
+from tabwright.llm.text import Words, buffer_of, byte_table, mixed, slices, with_kept, words_of
 
 TABLE_BITS = 20
 LANE = 384
@@ -163,8 +163,8 @@ def benchmark_spans(
     bench = benchmark.select(c(item_col).cast("string").alias("item"), c(item_text_col).cast("binary").alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    out = id_and_text(docs, id_col, text_col, *[c(k).alias(f"keep_{k}") for k in keep]).select(
-        "id", "text", *[f"keep_{k}" for k in keep],
+    out = with_kept(docs, id_col, text_col, keep).select(
+        "*",
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<array<bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
