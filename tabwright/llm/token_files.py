@@ -87,68 +87,77 @@ class LibraryEncoder:
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
-    def parts(self, piece: str, spaced: bool) -> list[tuple[str, bool]]:
-        """Smaller pieces (and whether a space stands before each) with the same ids; the piece alone if it has none."""
-        if "\n" in piece:
-            lines = piece.split("\n")
-            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-                rest = [y for x in lines[1:] for y in (("\n", False), (x, False))]
-                return [(lines[0], spaced), *rest]
-        elif len(piece) > 1:
+    def learn(self, spaced: set[str], bare: set[str]) -> None:
+        """Adds the ids of pieces after a space and of pieces without one to the kept ones.
+
+        Pieces that fall into smaller ones wait until those are known.
+        """
+        known_s, known_b = self.spaced, self.bare
+        ask_s, ask_b = set(), set()
+        waiting: list[tuple[str, bool, str, list[str]]] = []
+        for group, after_space, ask in ((spaced, True, ask_s), (bare, False, ask_b)):
+            for piece in group:
+                if "\n" in piece:
+                    first, *rest = piece.split("\n")
+                    solid = first and not first[-1].isspace() and all(x and not x[0].isspace() and not x[-1].isspace() for x in rest)
+                    if not solid or first[0].isspace():
+                        ask.add(piece)
+                        continue
+                    tail = [x for line in rest for x in ("\n", *self.marked(line))]
+                else:
+                    first, tail = piece, []
+                head, *marks = self.marked(first)
+                if not marks and not tail:
+                    ask.add(piece)
+                    continue
+                ask.add(head)
+                ask_b.update(marks)
+                ask_b.update(tail)
+                waiting.append((piece, after_space, head, marks + tail))
+        some_s = [p for p in ask_s if p not in known_s]
+        some_b = [p for p in ask_b if p not in known_b]
+        made = iter(self.tokenizer.encode_batch([" " + p for p in some_s] + some_b, add_special_tokens=False))
+        known_s.update((p, array("I", next(made).ids).tobytes()) for p in some_s)
+        known_b.update((p, array("I", next(made).ids).tobytes()) for p in some_b)
+        for piece, after_space, head, rest in waiting:
+            kept = known_s if after_space else known_b
+            kept[piece] = b"".join([kept[head], *map(known_b.__getitem__, rest)])
+
+    @staticmethod
+    def marked(piece: str) -> tuple[str, ...]:
+        """A word of letters and the marks behind it, or the piece itself."""
+        if piece[-1:] in MARKS:
             head = piece.rstrip(MARKS)
-            if len(head) < len(piece) and head.isalpha():
-                return [(head, spaced), (piece[len(head) :], False)]
-        return [(piece, spaced)]
-
-    def learn(self, pieces: list[tuple[str, bool]]) -> None:
-        """Adds the ids of pieces to the kept ones."""
-        kept = (self.bare, self.spaced)
-        made_of: list[tuple[str, bool, list]] = []
-        atoms: set[tuple[str, bool]] = set()
-        todo = list(pieces)
-        while todo:
-            piece, spaced = todo.pop()
-            if piece in kept[spaced]:
-                continue
-            parts = self.parts(piece, spaced)
-            if len(parts) == 1:
-                atoms.add((piece, spaced))
-            else:
-                made_of.append((piece, spaced, parts))
-                todo += parts
-        some = list(atoms)
-        for (piece, spaced), e in zip(some, self.tokenizer.encode_batch([" " + p if s else p for p, s in some], add_special_tokens=False), strict=True):
-            kept[spaced][piece] = array("I", e.ids).tobytes()
-        for piece, spaced, parts in reversed(made_of):
-            kept[spaced][piece] = b"".join([kept[s][p] for p, s in parts])
+            if head.isalpha():
+                return head, piece[len(head) :]
+        return (piece,)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.spaced) + len(self.bare) > KEPT_PIECES:
             self.spaced.clear()
             self.bare.clear()
-        firsts, rests, fresh = [], [], set()
+        spaced, bare, rows = set(), set(), []
         for t in texts:
             #: a text that spells a special token is one piece
-            parts = [t] if any(s in t for s in self.special) else split_at_spaces(t)
-            first, rest = parts[0], parts[1:]
+            first, *rest = [t] if any(s in t for s in self.special) else split_at_spaces(t)
             got = list(map(self.spaced.get, rest))
-            if None in got:
-                fresh.update([(p, True) for p, g in zip(rest, got, strict=True) if g is None])
-                got = None
-            if first not in self.bare:
-                fresh.add((first, False))
-            firsts.append(first)
-            rests.append((got, rest))
-        if fresh:
-            self.learn(list(fresh))
-        out = [
-            b"".join([self.bare[first], *(got if got is not None else map(self.spaced.__getitem__, rest))])
-            for first, (got, rest) in zip(firsts, rests, strict=True)
-        ]
-        for piece, spaced in fresh:
-            if len(piece) > LONGEST_KEPT:
-                del (self.spaced if spaced else self.bare)[piece]
+            gaps = [(i, rest[i]) for i, g in enumerate(got) if g is None] if None in got else []
+            spaced.update([p for _, p in gaps])
+            bare.add(first)
+            rows.append((first, got, gaps))
+        fresh = [p for p in bare if p not in self.bare]
+        if spaced or fresh:
+            self.learn(spaced, set(fresh))
+        out = []
+        for first, got, gaps in rows:
+            for i, p in gaps:
+                got[i] = self.spaced[p]
+            out.append(self.bare[first] + b"".join(got))
+        for pieces, kept in ((spaced, self.spaced), (fresh, self.bare)):
+            for piece in pieces:
+                if len(piece) > LONGEST_KEPT:
+                    kept.pop(piece, None)
         return out
 
 
