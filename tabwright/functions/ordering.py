@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.exprs import c, order_key
-from tabwright.session import input_bytes, plan_bytes
+from tabwright.session import input_bytes
 
-SMALL_PLAN_BYTES = 4 << 20
+
+def known_bytes(df: DataFrame) -> int:
+    """Input size for bucket counts; tables of unknown size (in-memory ones) are measured by their rows."""
+    size = input_bytes(df)
+    return size if size < 1 << 52 else 64 * df.count()
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -36,9 +40,9 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def hash_digits(df: DataFrame) -> int:
-    """Hex digits for hash buckets: a bucket covers about 32 MB of input or less, at most 16^5 buckets."""
-    wanted = max(16, input_bytes(df) // (32 << 20))
-    return min(5, math.ceil(math.log(wanted, 16)))
+    """Hex digits for hash buckets: a bucket covers about 32 MB of input or less."""
+    wanted = max(16, known_bytes(df) // (32 << 20))
+    return math.ceil(math.log(wanted, 16))
 
 
 def ranked_by_hash(
@@ -79,16 +83,15 @@ def _ranked(
     ).drop("__rows_before", "__in_bucket")
 
 
-def value_buckets(df: DataFrame, col: str, out: str, buckets: int = 512) -> DataFrame:
+def value_buckets(df: DataFrame, col: str, out: str, buckets: int | None = None) -> DataFrame:
     """Adds an order-preserving bucket number balanced over the rows.
 
-    A plan known to be small goes into one bucket; otherwise one pass over the
-    column finds at most ``buckets`` approximate percentiles.
+    One pass over the column finds approximate percentiles, one for each 32 MB of
+    input unless ``buckets`` says otherwise, at least 16.
     """
-    if plan_bytes(df) <= SMALL_PLAN_BYTES:
-        return df.withColumn(out, F.lit(0.0))
+    buckets = buckets or max(16, known_bytes(df) // (32 << 20))
     marks = df.agg(
-        F.percentile_approx(c(col), [i / buckets for i in range(1, buckets)], 10000).alias("m")
+        F.percentile_approx(c(col), [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets)).alias("m")
     ).first()["m"]
     edges = sorted({float(m) for m in (marks or []) if m is not None and math.isfinite(m)})
     splits = [-math.inf, *edges, math.inf]

@@ -15,7 +15,6 @@ from tabwright.operators.impute import impute_iterative
 from tabwright.operators.profile import class_kind
 
 ONE_HOT_RATIO = 0.1
-MAX_ONE_HOT_COLUMNS = 10_000
 TOO_MANY = (
     "Column {0} has too many categories to be one-hot encoded. "
     "Drop this column or encode as integer instead."
@@ -148,8 +147,8 @@ def record_categories(df: DataFrame, column: str) -> DataFrame:
 def category_values(df: DataFrame, column: str, gate: bool = True) -> list[str]:
     """Sorted values to encode, after the cardinality gate (distinct/rows <= 0.1).
 
-    One aggregate answers the gate; values come to the driver only when they
-    fit a table schema.
+    One aggregate answers the gate; the values that pass it become columns and so
+    come to the driver with the schema. There is no other limit on their number.
     """
     counts = df.groupBy(c(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     size = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).first()
@@ -157,7 +156,7 @@ def category_values(df: DataFrame, column: str, gate: bool = True) -> list[str]:
         raise ColumnChangeError(
             "All rows dropped due to missing values. Choose alternate fill method."
         )
-    if (gate and size["d"] / size["n"] > ONE_HOT_RATIO) or size["d"] > MAX_ONE_HOT_COLUMNS:
+    if gate and size["d"] / size["n"] > ONE_HOT_RATIO:
         raise ColumnChangeError(TOO_MANY.format(column))
     rows = counts.where(F.col("value").isNotNull()).select("value").collect()
     return [str(r["value"]) for r in sorted(rows, key=lambda r: r["value"])]

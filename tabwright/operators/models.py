@@ -35,18 +35,25 @@ from tabwright.operators.sampling import oversample, undersample
 from tabwright.operators.scale import Scaler, fit_scaler
 from tabwright.plans.options import SUPERVISED_MODELS
 
-MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are clamped
+MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are an error
 TREES = ("xgboost", "gradientboosting", "histgradientboosting")
 LINEAR = ("logisticregression", "sgdclassifier")
 
 
+def tree_depth(wanted: Any) -> int:
+    if int(wanted) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {wanted} is above {MAX_TREE_DEPTH}, the deepest tree Spark grows")
+    return int(wanted)
+
+
 def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, seed: int = 42):
     """Spark ML estimator of a model name, with its default settings where ``params`` is silent.
 
-    No counterpart exists for a minimum split size or the network's L2 penalty.
+    No counterpart exists for a minimum split size, the network's L2 penalty or,
+    with its l-bfgs solver, the network's first learning rate.
     """
     p = dict(params)
-    depth = lambda default: min(int(p.get("max_depth", default)), MAX_TREE_DEPTH)
+    depth = lambda default: tree_depth(p.get("max_depth", default))
     if name in ("randomforest", "bagging"):
         bag = name == "bagging"
         return RandomForestClassifier(
@@ -87,7 +94,6 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
         return MultilayerPerceptronClassifier(
             layers=[d, *[int(h) for h in hidden], max(k, 2)],
             maxIter=int(p.get("max_iter", 500)),
-            stepSize=float(p.get("learning_rate_init", 0.001)),
             seed=seed,
         )
     raise ValueError(f"Unknown model: {name}")

@@ -23,7 +23,7 @@ CLUSTERING_MODELS = ("spectralclustering", "kmeans", "hdbscan")
 RANGES: dict[str, tuple[float, float, float]] = {
     "n_estimators": (10, 200, 10),
     "c": (0.1, 100, 0.1),
-    "max_depth": (5, 500, 10),
+    "max_depth": (5, 30, 5),
     "subsample": (0.1, 1.0, 0.1),
     "validation_fraction": (0.01, 0.5, 0.01),
     "n_iter_no_change": (5, 50, 5),

@@ -67,8 +67,11 @@ def split(df):
 def fitted(name, df, features, params=None, **kw):
     """Predictions of every held-out row."""
     tr, te = split(df)
-    tr, te = tr.persist(), te.persist()
-    model = MO.fit_model(name, tr, features, "y", "row_id", params, **kw)
+    tr = tr.persist()
+    try:
+        model = MO.fit_model(name, tr, features, "y", "row_id", params, **kw)
+    finally:
+        tr.unpersist()
     return rounded(
         model.predict(te, "row_id", ["y"]).select("row_id", "y", "prediction", F.col("prob")[1].alias("score")), 6
     )
@@ -76,7 +79,7 @@ def fitted(name, df, features, params=None, **kw):
 
 @query("f1_random_forest")
 def random_forest(spark, sf):
-    return fitted("randomforest", document_rows(spark, sf), DOC_FEATURES, {"max_depth": 15})
+    return fitted("randomforest", document_rows(spark, sf), DOC_FEATURES)
 
 
 @query("f2_xgb_boosting")
@@ -97,7 +100,7 @@ def hist_boosting(spark, sf):
 
 @query("f5_bagging_trees")
 def bagging(spark, sf):
-    return fitted("bagging", document_rows(spark, sf), DOC_FEATURES, {"max_depth": 15})
+    return fitted("bagging", document_rows(spark, sf), DOC_FEATURES)
 
 
 @query("f6_sgd_logistic")

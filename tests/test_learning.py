@@ -213,8 +213,10 @@ def test_grid_sizes(spark):
     assert G.param_space(spark, "kneighbors").count() == 48
     assert G.param_space(spark, "kmeans").count() == 4 * 9 * 4
     depths = [r[0] for r in G.param_space(spark, "xgboost").select("max_depth").distinct().collect()]
-    assert sorted(depths) == [5, 15, 25, 30]
-    assert G.param_space(spark, "randomforest").count() == 20 * 4 * 2 * 3 * 2
+    assert sorted(depths) == [5, 10, 15, 20, 25, 30]
+    with pytest.raises(ValueError, match="deepest"):
+        G.param_space(spark, "xgboost", {"max_depth": (5, 500, 10)})
+    assert G.param_space(spark, "randomforest").count() == 20 * 6 * 2 * 3 * 2
 
 
 def test_trials_are_seeded(spark):
@@ -238,10 +240,10 @@ def test_tuning_both_kinds(spark, binary):
     assert G.constructor_params("neuralnetwork", {"nn_hidden_layer_sizes": 7, "nn_hidden_layer_depth": 2}) == {"hidden_layer_sizes": (7, 7)}
 
 
-def test_failed_trial_scores_zero(spark, binary):
+def test_failed_trial_has_no_score(spark, binary):
     out = G.cv_score_trials("kneighbors", binary, ["f1"], "y", "row_id", [{"trial": 0, "n_neighbors": 10_000}, {"trial": 1, "n_neighbors": 3}], folds=2)
     got = {r["trial"]: r["score"] for r in out.collect()}
-    assert got[0] == 0.0 and got[1] > 0.5
+    assert got[0] is None and got[1] > 0.5
 
 
 # explanation -------------------------------------------------------------------
@@ -346,3 +348,29 @@ def test_labels_may_be_text_and_testset_separate(spark, multi):
     row = run.report.first()
     assert row["n_test"] == "120" and float(row["test_acc"]) > 0.5
     assert {r["label"]: r["code"] for r in run.codes.collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_failed_trials_take_no_part(spark):
+    trials = spark.createDataFrame([(0, None, "a"), (1, 0.7, "b"), (2, 1.4, "c")], "trial int, score double, params string")
+    assert G.best_trial(trials, "davies_bouldin_score").first()["params"] == "b"
+    assert G.best_trial(trials, "silhouette_score").first()["params"] == "c"
+    assert G.best_trial(trials.where("score is null"), "silhouette_score").first() is None
+
+
+def test_tuning_survives_and_reports_failures(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "row_id int, a double, b double")
+    real = G.cluster_labels
+    calls = []
+
+    def sometimes(name, df, features, row_id, params, seed=42):
+        calls.append(1)
+        if len(calls) % 2:
+            raise RuntimeError("no")
+        return real(name, df, features, row_id, params, seed)
+
+    monkeypatch.setattr(G, "cluster_labels", sometimes)
+    _, score = G.tune("kmeans", rows, ["a", "b"], None, "row_id", "davies_bouldin_score", n_iter=4)
+    assert score > 0
+    monkeypatch.setattr(G, "cluster_labels", lambda *a, **k: 1 / 0)
+    with pytest.raises(RuntimeError, match="all 2 trials"):
+        G.tune("kmeans", rows, ["a", "b"], None, "row_id", "silhouette_score", n_iter=2)

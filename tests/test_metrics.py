@@ -7,7 +7,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import tabwright.functions.ordering as ordering
 from tabwright.operators import cluster_metrics as K
 from tabwright.operators import metrics as M
 
@@ -82,8 +81,7 @@ def test_auc_ignores_monotone_maps(spark, rows):
     assert a is None and b is None or abs(a - b) < 1e-9 or len({2 * s + 5 for s in score}) < len(set(score))
 
 
-def test_auc_through_value_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_PLAN_BYTES", 0)
+def test_auc_through_value_buckets(spark):
     rng = np.random.default_rng(1)
     label = [int(x) for x in rng.integers(0, 2, 3000)]
     # a third of all rows share one score
