@@ -1,0 +1,158 @@
+"""The methods behind the queries: codes, automata, searches, groups and models."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tabwright.llm import golay, licenses, rules, secrets, token_files, wumanber
+from tabwright.llm.bpe import Encoder, Vocabulary, decode_ids, default_path, encode_texts
+from tabwright.llm.crf import fit_language_model, language_of
+from tabwright.llm.queries import QUERIES
+from tests.llm import brute
+from tests.llm.conftest import MIT
+
+CLEAN = "/root/testdata/sf0.01"
+
+
+def test_every_word_is_within_three_bits_of_its_codeword():
+    words = np.random.default_rng(1).integers(0, 1 << 23, 20_000)
+    rest, error = golay.tables()
+    syndrome = rest[words & 0xFFF] ^ rest[(1 << 12) + (words >> 12)]
+    code = words ^ error[syndrome]
+    assert np.bitwise_count(error[syndrome]).max() <= 3
+    assert (rest[code & 0xFFF] ^ rest[(1 << 12) + (code >> 12)] == 0).all()
+
+
+def test_two_bits_apart_share_a_key():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        row, key = golay.keys_of(np.array([a, b], np.uint64))
+        assert set(key[row == 0]) & set(key[row == 1])
+
+
+def test_links_of_large_and_small_groups(spark):
+    rng = random.Random(3)
+    values = {0}
+    for centre in (rng.getrandbits(64), rng.getrandbits(64)):  # many near one value: keys too full for pairs
+        for _ in range(150):
+            values.add(centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    for _ in range(100):
+        a = rng.getrandbits(64)
+        values |= {a, a ^ 1 << rng.randrange(64), a ^ 7 << rng.randrange(60)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    got = {r["fp"]: r["component"] for r in golay.near_groups(df).collect()}
+    parent = {v: v for v in values}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    every = sorted(values)
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                parent[top(a)] = top(b)
+    groups: dict = {}
+    for v, s in zip(values, signed, strict=True):
+        groups.setdefault(top(v), []).append(s)
+    assert got == {s: min(g) for g in groups.values() for s in g}
+
+
+def test_benchmark_in_blocks_and_short_windows(spark):
+    rng = random.Random(4)
+    words = ["ab", "cd", "ef", "gh"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 14)))) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(brute.op2(list(enumerate(texts)), items))
+    for size in (1 << 20, 200):
+        got = wumanber.contamination(docs, bench, block_bytes=size)
+        columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == want
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n, dtype=np.uint64)).astype(np.uint32)
+        assert (token_files.unpack(*token_files.pack(v), n) == v).all()
+        ids = rng.integers(0, 50_257, n)
+        assert (token_files.unpack_block(*token_files.pack_block(ids), n) == ids).all() if n else True
+
+
+def test_entropy_of_windows():
+    text = b"a1b2c3d4e5f6" * 3
+    for window in (5, 8):
+        spans = []
+        for i in range(len(text) - window + 1):
+            part = text[i : i + window]
+            h = -sum(part.count(x) / window * math.log2(part.count(x) / window) for x in set(part))
+            if h >= 2.3 - 1e-12:
+                spans.append((i, i + window))
+        assert [b for b in secrets.entropic(text, window, 2.3)] == [tuple(x) for x in wumanber.joined_spans([list(s) for s in spans])]
+    assert secrets.method_spans(b"Zq8xV3nT7bK2mW9pR4sL6dF1")
+    assert not secrets.method_spans(b"123e4567-e89b-12d3-a456-426614174000")
+    assert not secrets.method_spans(b"internationalization2024") and not secrets.method_spans(b"example8xV3nT7bK2mW9pR4sL6")
+
+
+def test_matching_statistics_and_templates():
+    a = licenses.Automaton([list("abcbc"), list("bcbca"), list("cab")])
+    seqs = ["abcbc", "bcbca", "cab"]
+    text = "xabcbcabbcbcaacab"
+    for i, (_, size) in enumerate(a.statistics(list(text)), 1):
+        want = max(n for n in range(i + 1) if any(text[i - n : i] in s for s in seqs))
+        assert size == want
+    s = licenses.default_scanner()
+    words = licenses.words_in(MIT)
+    matches: dict = {}
+    s.scan_run(words, 0, [], matches)
+    k = next(k for k in matches if s.labels[k] == "mit")
+    assert s.coverage(k, matches[k]) == (len(words), 0, len(words))
+
+
+def test_bpe_backtracks_exactly_and_decodes(spark):
+    v = Vocabulary(open(default_path(), encoding="utf-8").read())
+    e = Encoder(v)
+    rng = random.Random(6)
+    for _ in range(3000):
+        word = bytes(rng.choice(b"abcdeinrst\xc3\xa9") for _ in range(rng.randrange(1, 25)))
+        assert e.word(word) == e.merged(word)
+    docs = spark.createDataFrame([(1, "naïve <|endoftext|> 😀"), (2, None), (3, "")], "doc_id int, text string")
+    assert [r["text"] for r in decode_ids(encode_texts(docs)).orderBy("id").collect()] == ["naïve <|endoftext|> 😀", "", ""]
+
+
+def test_code_switched_words(spark):
+    docs = spark.read.parquet(f"{CLEAN}/documents.parquet")
+    model = fit_language_model(docs)
+    some = {r["lang"]: " ".join(r["text"].split()[:12]) for r in docs.where("length(text) between 400 and 900").orderBy("doc_id").collect()}
+    mixed = spark.createDataFrame([(1, some["en"] + " " + some["de"])], "doc_id int, text string")
+    runs = language_of(mixed, model, runs=True).first()["runs"]
+    assert runs[0]["label"] == "en" and runs[-1]["label"] == "de" and len(runs) <= 4
+
+
+def test_learned_answers_on_held_out_rows(spark):
+    truth = spark.read.parquet(f"{CLEAN}/documents.parquet").select("doc_id", "lang")
+    got = QUERIES["op3_language_id"](spark, CLEAN).where("held_out").join(truth, "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    marks = spark.read.parquet(f"{CLEAN}/labels.parquet")
+    got = QUERIES["op10_quality_classifier"](spark, CLEAN).where("held_out").join(marks, "doc_id").collect()
+    assert sum(r["quality"] == r["predicted"] for r in got) >= 0.95 * len(got)
+    got = QUERIES["op7_quality_rules"](spark, CLEAN).where("not base_failed").join(marks, "doc_id").collect()
+    assert all(r["kept"] for r in got if r["quality"] == 1)
+    assert sum(not r["kept"] for r in got if r["quality"] == 0) >= 0.3 * sum(r["quality"] == 0 for r in got)
+    got = QUERIES["op1_lm_scoring"](spark, CLEAN).where("held_out").selectExpr("sum(score) m", "sum(base_score) b").first()
+    assert got["m"] > got["b"]
+
+
+def test_rules_without_both_labels(spark):
+    rows = spark.createDataFrame([(1.0, *[0.5] * len(rules.STATISTICS))], "label double, " + ", ".join(f"{x} double" for x in rules.STATISTICS))
+    one = rows.select(rules.fit_rules(rows).score()).first()[0]
+    none = rows.select(rules.fit_rules(rows.where("label > 5")).score()).first()[0]
+    assert one > 0.5 and none == pytest.approx(0.5)
