@@ -36,11 +36,24 @@ def hashed(d: DataFrame) -> DataFrame:
     return d.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once.
+
+    A filter that the optimizer moves below these columns would otherwise repeat
+    it for every element of a loop.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def grams() -> Column:
     """Buckets of the words and word pairs of column ``h``: words in the lower half, pairs in the upper."""
-    pairs = F.transform("h", lambda x, i: F.pmod(F.xxhash64(x, F.get("h", i + 1)), F.lit(BUCKETS)).cast("int") + BUCKETS)
-    single = F.transform("h", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-    return F.concat(single, F.slice(pairs, F.lit(1), F.greatest(F.size("h") - 1, F.lit(0))))
+
+    def use(h: Column) -> Column:
+        pairs = F.transform(h, lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(BUCKETS)).cast("int") + BUCKETS)
+        single = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+        return F.concat(single, F.slice(pairs, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
+
+    return bound(F.col("h"), use)
 
 
 def repeats(d: DataFrame, width: int = 5) -> DataFrame:
@@ -49,12 +62,21 @@ def repeats(d: DataFrame, width: int = 5) -> DataFrame:
     Windows are compared by a 64-bit hash. Only texts with a repeated window have
     their windows sorted.
     """
-    n = F.size("h")
-    window = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(width)])
-    d = d.withColumn("g", F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), window)).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    same = lambda e, i, k: F.coalesce(F.get("s", i + k)["x"] == e["x"], F.lit(False))
-    twice = F.filter("s", lambda e, i: same(e, i, -1) | same(e, i, 1))
+    none = F.array().cast("array<bigint>")
+
+    def windows(h: Column) -> Column:
+        window = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), window)).otherwise(none)
+
+    def in_order(g: Column) -> Column:
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+
+    def repeated(s: Column) -> Column:
+        same = lambda e, i, k: F.coalesce(F.get(s, i + k)["x"] == e["x"], F.lit(False))
+        return F.filter(s, lambda e, i: same(e, i, -1) | same(e, i, 1))
+
+    d = d.withColumn("s", bound(bound(F.col("h"), windows), in_order))
+    twice = bound(F.col("s"), repeated)
     places = F.sort_array(F.transform(twice, lambda e: e["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(
