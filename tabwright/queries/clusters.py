@@ -43,16 +43,18 @@ def _dist(a: str, b: str, dims: int = DIMS) -> str:
     return "sqrt(" + " + ".join(f"({a}.f{i} - {b}.f{i}) ^ 2" for i in range(dims)) + ")"
 
 
-@query(
-    "h16_silhouette",
+SILHOUETTE_SQL = (
     VEC_SQL
     + f"""
 , d AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, sum({_dist("a", "b")}) AS t, count(*) AS n
         FROM p a, p b GROUP BY 1, 2, 3)
 , s AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other THEN t / nullif(n - 1, 0) END) AS a,
                min(CASE WHEN own <> other THEN t / n END) AS b FROM d GROUP BY 1)
-SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_score FROM s""",
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_score FROM s"""
 )
+
+
+@query("h16_silhouette", SILHOUETTE_SQL)
 def silhouette(spark, sf):
     return rounded(K.silhouette(vectors(spark, sf), FEATURES))
 
@@ -112,29 +114,33 @@ CENTROID_SQL = (
 )
 
 
-@query(
-    "h17_davies_bouldin",
+DB_SQL = (
     CENTROID_SQL
     + f"""
 , s AS (SELECT p.cluster, avg({_dist("p", "c")}) AS s FROM p JOIN c USING (cluster) GROUP BY 1)
 , r AS (SELECT a.cluster, max((sa.s + sb.s) / {_dist("a", "b")}) AS r FROM c a JOIN c b ON a.cluster <> b.cluster
         JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY 1)
-SELECT round(avg(r), 6) AS davies_bouldin_score FROM r""",
+SELECT round(avg(r), 6) AS davies_bouldin_score FROM r"""
 )
+
+
+@query("h17_davies_bouldin", DB_SQL)
 def davies_bouldin(spark, sf):
     return rounded(K.davies_bouldin(vectors(spark, sf), FEATURES))
 
 
-@query(
-    "h18_calinski_harabasz",
+CH_SQL = (
     CENTROID_SQL
     + ", g AS (SELECT "
     + ", ".join(f"avg(f{i}) AS f{i}" for i in range(DIMS))
     + f""" FROM p)
 , b AS (SELECT sum(c.n * {_dist("c", "g")} ^ 2) AS b, count(*) AS k FROM c, g)
 , w AS (SELECT sum({_dist("p", "c")} ^ 2) AS w, count(*) AS n FROM p JOIN c USING (cluster))
-SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS calinski_harabasz_score FROM b, w""",
+SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS calinski_harabasz_score FROM b, w"""
 )
+
+
+@query("h18_calinski_harabasz", CH_SQL)
 def calinski_harabasz(spark, sf):
     return rounded(K.calinski_harabasz(vectors(spark, sf), FEATURES), 4)
 
@@ -170,9 +176,29 @@ agreement("h21_v_measure", "v_measure", "2 * (mi / ha) * (mi / hb) / (mi / ha +
 agreement("h22_fowlkes_mallows", "fowlkes_mallows", "s / sqrt(pa * pb)")
 
 
-@query("h23_align_clusters")
+# all ways to give the four clusters different labels; the best total wins
+ALIGN_SQL = (
+    VEC_SQL
+    + """
+, n AS (SELECT cluster, label, count(*) AS n FROM p GROUP BY 1, 2), l AS (SELECT DISTINCT label FROM p)
+, m AS (SELECT a.label AS l0, b.label AS l1, c.label AS l2, d.label AS l3,
+               coalesce(n0.n, 0) + coalesce(n1.n, 0) + coalesce(n2.n, 0) + coalesce(n3.n, 0) AS total
+        FROM l a JOIN l b ON b.label <> a.label JOIN l c ON c.label NOT IN (a.label, b.label) JOIN l d ON d.label NOT IN (a.label, b.label, c.label)
+        LEFT JOIN n n0 ON n0.cluster = 0 AND n0.label = a.label LEFT JOIN n n1 ON n1.cluster = 1 AND n1.label = b.label
+        LEFT JOIN n n2 ON n2.cluster = 2 AND n2.label = c.label LEFT JOIN n n3 ON n3.cluster = 3 AND n3.label = d.label)
+SELECT (SELECT max(total) FROM m) AS matches, (SELECT count(*) FROM p) AS n_rows, 4 AS n_clusters, 4 AS n_labels
+"""
+)
+
+
+@query("h23_align_clusters", ALIGN_SQL)
 def align(spark, sf):
-    return K.align_clusters(vectors(spark, sf))[1].select("vec_id", "label", "cluster", "aligned")
+    """Rows that match after aligning; every cluster has a label of its own. Equal totals may come from other pairings."""
+    found = K.align_clusters(vectors(spark, sf))[1]
+    return found.agg(
+        F.count_if(F.col("label") == F.col("aligned")).alias("matches"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("cluster").cast("int").alias("n_clusters"), F.count_distinct("aligned").cast("int").alias("n_labels"),
+    )
 
 
 # run rows from events: one (run, model) pair per event

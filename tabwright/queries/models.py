@@ -1,7 +1,9 @@
 """Trained models over ``orders``, ``customer``, ``labels`` with ``documents``, and ``embeddings``.
 
-Quality is not judged here: the columns are synthetic. Each query trains, then
-returns predictions or measures for every row it should cover.
+What a trained model must answer is known beforehand in most queries, so SQL can
+hold it: classes that one column tells apart, groups that stand far apart,
+equations that a fitted model satisfies, closed forms, or a saved model against
+the one in memory. All work runs at the documented defaults.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from tabwright.operators import synth as Y
 from tabwright.operators import tuning as G
 from tabwright.plans.options import TrainingOptions
 from tabwright.plans.workflow import train
-from tabwright.queries.clusters import vectors
+from tabwright.queries.clusters import CH_SQL, DB_SQL, SILHOUETTE_SQL, vectors
 from tabwright.queries.registry import query, rounded, table
+from tabwright.queries.sampling import PCA_SQL
 from tabwright.session import scratch_path
 
 FEATURES = ["o_totalprice", "c_acctbal", "nation", "priority"]
@@ -64,53 +67,98 @@ def split(df):
     return parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
 
 
-def fitted(name, df, features, params=None, **kw):
-    """Predictions of every held-out row."""
-    tr, te = split(df)
-    tr = tr.persist()
-    try:
-        model = MO.fit_model(name, tr, features, "y", "row_id", params, **kw)
-    finally:
-        tr.unpersist()
-    return rounded(
-        model.predict(te, "row_id", ["y"]).select("row_id", "y", "prediction", F.col("prob")[1].alias("score")), 6
+def held_out_sql(rows: str) -> str:
+    """CTEs ending in ``t``: the held-out (row_id, y) of ``rows``; class sizes, quotas by largest remainder, seeded ranks."""
+    return f"""
+WITH p AS ({rows}), n AS (SELECT y, count(*) AS n FROM p GROUP BY 1),
+q0 AS (SELECT y, n, CAST(floor(round(n * 0.2E0, 9)) AS BIGINT) AS whole, round(n * 0.2E0 - floor(round(n * 0.2E0, 9)), 9) AS rest,
+              CAST(ceil(round((SELECT sum(n) FROM n) * 0.2E0, 9)) AS BIGINT) AS total FROM n),
+q AS (SELECT y, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, n DESC, y) <= total - (SELECT sum(whole) FROM q0) THEN 1 ELSE 0 END AS quota FROM q0),
+r AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || row_id), row_id) AS rn FROM p),
+t AS (SELECT row_id, r.y FROM r JOIN q ON q.y = r.y WHERE rn <= quota)
+"""
+
+
+NATION_FEATURES = ["nation", "balance"]
+
+
+def nation_rows(spark, sf, classes: int = 2, gap: float = 0.0):
+    """Every customer, in classes of nations that lie side by side, ``gap`` apart; the balance tells nothing."""
+    key = F.col("c_nationkey")
+    y = F.floor(key / (12 if classes == 2 else 9)).cast("int")
+    y = F.least(y, F.lit(classes - 1))
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), y.alias("y"), (key + y * gap).cast("double").alias("nation"), F.col("c_acctbal").cast("double").alias("balance")
     )
 
 
-@query("f1_random_forest")
+TWO_SQL = held_out_sql("SELECT c_custkey AS row_id, CAST(least(c_nationkey // 12, 1) AS INT) AS y FROM customer")
+THREE_SQL = held_out_sql("SELECT c_custkey AS row_id, CAST(least(c_nationkey // 9, 2) AS INT) AS y FROM customer")
+FOUND_SQL = "SELECT row_id, y, y AS prediction, TRUE AS likely FROM t"
+
+
+def told_apart(name, rows, params=None):
+    """Predictions of every held-out row, and whether the predicted class has most of the probability."""
+    tr, te = split(rows)
+    model = MO.fit_model(name, tr, NATION_FEATURES, "y", "row_id", params)
+    likely = F.get("prob", F.col("prediction")) > 0.5
+    return model.predict(te, "row_id", ["y"]).select("row_id", "y", "prediction", likely.alias("likely"))
+
+
+@query("f1_random_forest", TWO_SQL + FOUND_SQL)
 def random_forest(spark, sf):
-    return fitted("randomforest", document_rows(spark, sf), DOC_FEATURES)
+    return told_apart("randomforest", nation_rows(spark, sf))
 
 
-@query("f2_xgb_boosting")
+@query("f2_xgb_boosting", TWO_SQL + FOUND_SQL)
 def xgb(spark, sf):
-    return fitted("xgboost", document_rows(spark, sf), DOC_FEATURES, {"n_estimators": 10})
+    return told_apart("xgboost", nation_rows(spark, sf))
 
 
-@query("f3_gradient_boosting")
+@query("f3_gradient_boosting", TWO_SQL + FOUND_SQL)
 def gradient_boosting(spark, sf):
-    params = {"n_estimators": 20, "validation_fraction": 0.1, "subsample": 0.8}
-    return fitted("gradientboosting", document_rows(spark, sf), DOC_FEATURES, params)
+    return told_apart("gradientboosting", nation_rows(spark, sf), {"validation_fraction": 0.1, "subsample": 0.8})
 
 
-@query("f4_hist_gradient_boosting")
+@query("f4_hist_gradient_boosting", THREE_SQL + FOUND_SQL)
 def hist_boosting(spark, sf):
-    return fitted("histgradientboosting", order_rows(spark, sf, 3), FEATURES, {"max_iter": 5})
+    return told_apart("histgradientboosting", nation_rows(spark, sf, 3))
 
 
-@query("f5_bagging_trees")
+@query("f5_bagging_trees", TWO_SQL + FOUND_SQL)
 def bagging(spark, sf):
-    return fitted("bagging", document_rows(spark, sf), DOC_FEATURES)
+    return told_apart("bagging", nation_rows(spark, sf))
+
+
+# the free intercept of a fitted logistic model: each class's mean probability on the training rows is its share
+STATUS_SQL = held_out_sql("SELECT o_orderkey AS row_id, CAST({} AS INT) AS y FROM orders JOIN customer ON o_custkey = c_custkey") + """
+, l AS (SELECT p.y FROM p ANTI JOIN t USING (row_id))
+SELECT y, count(*) AS n, round(count(*) * 1.0E0 / (SELECT count(*) FROM l), 6) AS share, TRUE AS balanced FROM l GROUP BY 1
+"""
 
 
-@query("f6_sgd_logistic")
+def score_equations(name, rows, classes):
+    tr, _ = split(rows)
+    tr = tr.persist()
+    try:
+        scored = MO.fit_model(name, tr, FEATURES, "y", "row_id").predict(tr, "row_id", ["y"])
+        means = scored.agg(F.count(F.lit(1)), *[F.avg(F.col("prob")[k]) for k in range(classes)]).first()
+        per = scored.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        share = F.col("n") / F.lit(float(means[0]))
+        mean = F.get(F.array(*[F.lit(m) for m in means[1:]]), F.col("y"))
+        return rounded(per.select("y", "n", share.alias("share"), (F.abs(mean - share) < 1e-3).alias("balanced")))
+    finally:
+        tr.unpersist()
+
+
+@query("f6_sgd_logistic", STATUS_SQL.format("o_orderstatus = 'F'"))
 def sgd(spark, sf):
-    return fitted("sgdclassifier", order_rows(spark, sf), FEATURES)
+    return score_equations("sgdclassifier", order_rows(spark, sf), 2)
 
 
-@query("f7_logistic_regression")
+@query("f7_logistic_regression", STATUS_SQL.format("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"))
 def logistic(spark, sf):
-    return fitted("logisticregression", order_rows(spark, sf, 3), FEATURES)
+    return score_equations("logisticregression", order_rows(spark, sf, 3), 3)
 
 
 KNN_SQL = """
@@ -137,9 +185,9 @@ def knn(spark, sf):
     )
 
 
-@query("f9_neural_network")
+@query("f9_neural_network", TWO_SQL + FOUND_SQL)
 def network(spark, sf):
-    return fitted("neuralnetwork", document_rows(spark, sf), DOC_FEATURES, {"hidden_layer_sizes": (20,), "max_iter": 100})
+    return told_apart("neuralnetwork", nation_rows(spark, sf, gap=30.0))
 
 
 VECTOR_FEATURES = [f"f{i}" for i in range(64)]
@@ -151,14 +199,28 @@ def part_points(spark, sf):
     )
 
 
-@query("f10_kmeans")
+# customers or suppliers in three groups that stand apart; a group goes by its least member
+GROUP_SQL = "SELECT {0}key AS row_id, min({0}key) OVER (PARTITION BY {0}key % 3) AS member FROM {1}"
+
+
+def far_groups(spark, sf, name, start):
+    key, x, y = F.col(f"{start}key"), F.col(f"{name[0]}_acctbal") / 50000, F.col(f"{name[0]}_nationkey") / 100.0
+    return table(spark, sf, name).select(key.alias("row_id"), (x + 5 * (key % 3)).alias("a"), (y - 3 * (key % 3)).alias("b"))
+
+
+def by_member(labels):
+    least = labels.groupBy("label").agg(F.min("row_id").alias("member"))
+    return labels.join(least, "label").select("row_id", "member")
+
+
+@query("f10_kmeans", GROUP_SQL.format("c_cust", "customer"))
 def kmeans(spark, sf):
-    return K.kmeans(X.minmax_scale(part_points(spark, sf), ["a", "b"]), ["a", "b"], "row_id", 3, n_init=2)[0]
+    return by_member(K.kmeans(X.minmax_scale(far_groups(spark, sf, "customer", "c_cust"), ["a", "b"]), ["a", "b"], "row_id", 3)[0])
 
 
-@query("f11_spectral_clustering")
+@query("f11_spectral_clustering", GROUP_SQL.format("s_supp", "supplier"))
 def spectral(spark, sf):
-    return K.spectral_clusters(vectors(spark, sf), VECTOR_FEATURES, "vec_id", 3)
+    return by_member(K.spectral_clusters(far_groups(spark, sf, "supplier", "s_supp"), ["a", "b"], "row_id", 3))
 
 
 EPS = 0.2
@@ -212,24 +274,46 @@ def trials(spark, sf):
     return rounded(G.cv_score_trials("logisticregression", rows, DOC_FEATURES, "y", "row_id", options, "f1_macro", 3))
 
 
-@query("g4_cluster_goal_score")
+GOAL_SQL = f"""
+SELECT 'silhouette_score' AS goal, silhouette_score AS score FROM ({SILHOUETTE_SQL})
+UNION ALL SELECT 'calinski_harabasz_score', calinski_harabasz_score FROM ({CH_SQL})
+UNION ALL SELECT 'davies_bouldin_score', davies_bouldin_score FROM ({DB_SQL})
+"""
+
+
+@query("g4_cluster_goal_score", GOAL_SQL)
 def cluster_goals(spark, sf):
     v = vectors(spark, sf)
     rows = [
         (goal, G.cluster_goal_score(v, VECTOR_FEATURES, goal))
         for goal in ("silhouette_score", "calinski_harabasz_score", "davies_bouldin_score")
     ]
-    return rounded(spark.createDataFrame(rows, "goal string, score double"))
+    scores = spark.createDataFrame(rows, "goal string, score double")
+    digits = F.when(F.col("goal") == "calinski_harabasz_score", F.round("score", 4)).otherwise(F.round("score", 6))
+    return scores.select("goal", digits.alias("score"))
+
 
+DOCUMENTS_SQL = held_out_sql("SELECT doc_id AS row_id, quality AS y FROM labels JOIN documents USING (doc_id)")
 
-@query("a7_save_load_model")
+
+def same_scores(a, b, columns):
+    """row_id and whether two scorings of a row agree."""
+    other = b.select(F.col("row_id"), *[F.col(x).alias(f"__{x}") for x in columns])
+    equal = F.lit(True)
+    for x in columns:
+        equal = equal & F.col(x).eqNullSafe(F.col(f"__{x}"))
+    return a.join(other, "row_id", "full").select("row_id", equal.alias("same"))
+
+
+@query("a7_save_load_model", DOCUMENTS_SQL + "SELECT row_id, TRUE AS same FROM t")
 def save_load(spark, sf):
-    """Scores of the model read back, for every held-out row."""
+    """Does the model read back score every held-out row as the model in memory does?"""
     tr, te = split(document_rows(spark, sf))
     path = scratch_path(spark, "model")
-    MO.fit_model("logisticregression", tr, DOC_FEATURES, "y", "row_id").save(path, spark)
+    model = MO.fit_model("logisticregression", tr, DOC_FEATURES, "y", "row_id")
+    model.save(path, spark)
     again = MO.FittedModel.load(path, spark)
-    return rounded(again.predict(te, "row_id").select("row_id", "prediction", F.col("prob")[1].alias("score")))
+    return same_scores(again.predict(te, "row_id"), model.predict(te, "row_id"), ["prediction", "prob"])
 
 
 @query("i1_shap_sampled")
@@ -239,61 +323,112 @@ def shap_sampled(spark, sf):
     return rounded(E.shap_values(model, tr, te, "row_id", n_background=5, n_permutations=2), 4)
 
 
-@query("i5_odds_ratios")
+# one yes-or-no input and no penalty: the ratio of the 2 x 2 table and its textbook interval
+ODDS_SQL = """
+WITH n AS (SELECT count(*) FILTER (WHERE x = 1 AND y = 1) * 1.0E0 AS a, count(*) FILTER (WHERE x = 1 AND y = 0) * 1.0E0 AS b,
+                  count(*) FILTER (WHERE x = 0 AND y = 1) * 1.0E0 AS c, count(*) FILTER (WHERE x = 0 AND y = 0) * 1.0E0 AS d
+           FROM (SELECT CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS x, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders)),
+r AS (SELECT ln(a * d / b / c) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS s FROM n)
+SELECT mode, 'urgent' AS "Feature", round(exp(l), 3) AS "Odds Ratio", round(exp(l - 1.96E0 * s * on_), 3) AS "95% CI Lower",
+       round(exp(l + 1.96E0 * s * on_), 3) AS "95% CI Upper" FROM r, (VALUES ('information', 1), ('reference', 0)) v(mode, on_)
+"""
+
+
+@query("i5_odds_ratios", ODDS_SQL)
 def odds(spark, sf):
-    rows = document_rows(spark, sf)
-    model = MO.fit_model("logisticregression", rows, DOC_FEATURES, "y", "row_id")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_orderpriority") < "3").cast("double").alias("urgent")
+    )
+    model = MO.fit_model("logisticregression", rows, ["urgent"], "y", "row_id", {"C": 1e12})
     default = E.odds_ratios(model, rows).withColumn("mode", F.lit("information"))
     literal = E.odds_ratios(model, rows, "reference").withColumn("mode", F.lit("reference"))
-    return rounded(default.unionByName(literal))
+    return rounded(default.unionByName(literal), 3)
 
 
 def two_models(spark, sf):
+    """Two models in memory, where they are saved, and the held-out rows."""
     tr, te = split(document_rows(spark, sf))
     root = scratch_path(spark, "models")
-    paths = {}
+    models, paths = [], {}
     for name in ("logisticregression", "kneighbors"):
         paths[name] = f"{root}/{name}"
-        MO.fit_model(name, tr, DOC_FEATURES, "y", "row_id").save(paths[name], spark)
-    return paths, te
+        models.append(MO.fit_model(name, tr, DOC_FEATURES, "y", "row_id"))
+        models[-1].save(paths[name], spark)
+    return models, paths, te
 
 
-@query("k1_score_rows")
+@query("k1_score_rows", DOCUMENTS_SQL + "SELECT row_id, TRUE AS same FROM t")
 def score_rows(spark, sf):
-    paths, te = two_models(spark, sf)
-    return rounded(SC.retest(spark, paths, te.drop("y"), "y"))
+    """Do saved models score every unlabelled row as the models in memory do?"""
+    models, paths, te = two_models(spark, sf)
+    saved = SC.retest(spark, paths, te.drop("y"), "y")
+    kept = SC.score_rows(models, te.drop("y"), "row_id")
+    columns = [x for x in kept.columns if x != "testset_index"]
+    return same_scores(saved.withColumnRenamed("testset_index", "row_id"), kept.withColumnRenamed("testset_index", "row_id"), columns)
+
 
+PERFECT = ", ".join(f"1.0E0 AS {name}" for name, _ in SC.SUMMARY)
 
-@query("k2_retest_metrics")
+
+@query("k2_retest_metrics", f"SELECT model, {PERFECT} FROM (VALUES ('logisticregression'), ('randomforest')) v(model)")
 def retest_metrics(spark, sf):
-    tr, te = split(order_rows(spark, sf, 3))
-    models = [
-        MO.fit_model("logisticregression", tr, FEATURES, "y", "row_id"),
-        MO.fit_model("randomforest", tr, FEATURES, "y", "row_id", {"n_estimators": 5, "max_depth": 5}),
-    ]
+    """Classes that one column tells apart: every measure is one."""
+    tr, te = split(nation_rows(spark, sf, gap=30.0))
+    models = [MO.fit_model(name, tr, NATION_FEATURES, "y", "row_id") for name in ("logisticregression", "randomforest")]
     return rounded(SC.retest_metrics(models, te, "y", "row_id"))
 
 
-@query("k3_retest")
+@query("k3_retest", "SELECT model, TRUE AS same FROM (VALUES ('logisticregression'), ('kneighbors')) v(model)")
 def retest(spark, sf):
-    paths, te = two_models(spark, sf)
-    paths["missing"] = paths["kneighbors"] + "-gone"
-    return rounded(SC.retest(spark, paths, te, "y", log=lambda m: None))
+    """Measures of saved models on labelled rows against those in memory; a model that is gone is passed over."""
+    models, paths, te = two_models(spark, sf)
+    saved = SC.retest(spark, paths | {"missing": paths["kneighbors"] + "-gone"}, te, "y", log=lambda m: None)
+    kept = SC.retest_metrics(models, te, "y", "row_id")
+    return same_scores(
+        rounded(saved.withColumnRenamed("model", "row_id"), 9), rounded(kept.withColumnRenamed("model", "row_id"), 9), [x for x, _ in SC.SUMMARY]
+    ).withColumnRenamed("row_id", "model")
+
+
+# values at evenly spaced ranks of each class; each row of the factor has length one
+MEASURES_SQL = """
+WITH d AS (SELECT quality AS y, CAST(length(text) AS DOUBLE) AS chars, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) * 1.0E0 / greatest(length(text), 1) AS letters,
+                  CAST(len(string_split_regex(text, '\\s+')) AS DOUBLE) AS words, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines FROM labels JOIN documents USING (doc_id)),
+l AS (UNPIVOT d ON chars, letters, words, lines INTO NAME column_ VALUE v)
+"""
 
 
-@query("l2_fit_copula")
+@query(
+    "l2_fit_copula",
+    MEASURES_SQL
+    + f"""
+, r AS (SELECT y, column_, v, row_number() OVER (PARTITION BY y, column_ ORDER BY v) AS rn, count(*) OVER (PARTITION BY y, column_) AS n FROM l)
+, s AS (SELECT i FROM unnest(range(0, {Y.QUANTILES + 1})) g(i))
+SELECT y, column_ AS "column", list(round(v, 9) ORDER BY i) AS quantiles, TRUE AS unit
+FROM r JOIN s ON rn = greatest(1, CAST(ceil(round(i * n / {Y.QUANTILES}.0E0, 9)) AS BIGINT)) GROUP BY 1, 2""",
+)
 def copula(spark, sf):
-    """The quantile table and correlation factor as rows."""
+    """The quantile table as rows, and whether the correlation factor has rows of length one."""
     m = Y.fit_copula(document_rows(spark, sf), "y", DOC_FEATURES)
-    rows = [(int(k), n, m.quantiles[k][i], [float(v) for v in m.factor[k][i]]) for k in m.classes for i, n in enumerate(m.columns)]
-    return spark.createDataFrame(rows, "y int, column string, quantiles array<double>, factor array<double>")
+    rows = [
+        (int(k), n, [round(v, 9) for v in m.quantiles[k][i]], bool(abs(sum(float(v) ** 2 for v in m.factor[k][i]) - 1) < 1e-9))
+        for k in m.classes
+        for i, n in enumerate(m.columns)
+    ]
+    return spark.createDataFrame(rows, "y int, column string, quantiles array<double>, unit boolean")
 
 
-@query("l3_sample_conditional")
+@query("l3_sample_conditional", MEASURES_SQL + "SELECT y, count(*) AS n, TRUE AS within FROM d GROUP BY 1")
 def sample(spark, sf):
+    """Rows drawn for each class, and whether every value lies inside its class's range."""
     rows = document_rows(spark, sf)
     wanted = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"))
-    return rounded(Y.sample_conditional(Y.fit_copula(rows, "y", DOC_FEATURES), wanted), 4)
+    drawn = Y.sample_conditional(Y.fit_copula(rows, "y", DOC_FEATURES), wanted)
+    ends = rows.groupBy("y").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in DOC_FEATURES for f in (F.min, F.max)])
+    extremes = drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"drawn_{f.__name__}_{x}") for x in DOC_FEATURES for f in (F.min, F.max)])
+    inside = F.lit(True)
+    for x in DOC_FEATURES:
+        inside = inside & (F.col(f"drawn_min_{x}") >= F.col(f"min_{x}") - 1e-9) & (F.col(f"drawn_max_{x}") <= F.col(f"max_{x}") + 1e-9)
+    return extremes.join(ends, "y").select("y", "n", inside.alias("within"))
 
 
 BALANCE_SQL = """
@@ -320,12 +455,19 @@ def generate(spark, sf):
     return Y.generate_new(document_rows(spark, sf), "y", DOC_FEATURES, "row_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j11_cluster_scatter")
+@query(
+    "j11_cluster_scatter",
+    f"""
+SELECT l_orderkey * 10 + l_linenumber AS row_id, pc1, pc2, ratio1, ratio2, CAST(CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE -1 END AS INT) AS label,
+       l_quantity >= 34 AS is_noise FROM ({PCA_SQL}) JOIN lineitem USING (l_orderkey, l_linenumber)""",
+)
 def scatter(spark, sf):
-    v = vectors(spark, sf)
-    coords = X.pca_2d(v, VECTOR_FEATURES, ["vec_id"])
-    labels = v.select("vec_id", F.col("cluster").alias("label"))
-    return rounded(R.cluster_scatter(coords, labels, "vec_id"), 4)
+    d = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"),
+        F.when(F.col("l_quantity") < 17, 0).when(F.col("l_quantity") < 34, 1).otherwise(-1).alias("label"),
+    )
+    coords = X.pca_2d(d, ["l_quantity", "price"], ["row_id"])
+    return rounded(R.cluster_scatter(coords, d.select("row_id", "label"), "row_id"), 4)
 
 
 def flagship(spark, sf):

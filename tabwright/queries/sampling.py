@@ -148,9 +148,7 @@ def assemble(spark, sf):
 
 
 # two columns: the principal axes of a 2x2 covariance in closed form
-@query(
-    "e4_pca_2d",
-    """
+PCA_SQL = """
 WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice / 1000) AS my, var_samp(l_quantity) AS a,
                   var_samp(l_extendedprice / 1000) AS d, covar_samp(l_quantity, l_extendedprice / 1000) AS b FROM lineitem),
 e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ^ 2 + b * b) AS e1, (a + d) / 2 - sqrt(((a - d) / 2) ^ 2 + b * b) AS e2 FROM s),
@@ -161,8 +159,10 @@ g AS (SELECT mx, my, e1 / (e1 + e2) AS r1, e2 / (e1 + e2) AS r2,
 SELECT l_orderkey, l_linenumber,
        round(s1 * ((l_quantity - mx) * vx + (l_extendedprice / 1000 - my) * vy), 4) + 0.0 AS pc1,
        round(s2 * ((l_quantity - mx) * (-vy) + (l_extendedprice / 1000 - my) * vx), 4) + 0.0 AS pc2,
-       round(r1, 4) AS ratio1, round(r2, 4) AS ratio2 FROM lineitem, g""",
-)
+       round(r1, 4) AS ratio1, round(r2, 4) AS ratio2 FROM lineitem, g"""
+
+
+@query("e4_pca_2d", PCA_SQL)
 def pca(spark, sf):
     d = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
     return rounded(X.pca_2d(d, ["l_quantity", "price"], ["l_orderkey", "l_linenumber"]), 4)
