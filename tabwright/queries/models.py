@@ -199,13 +199,13 @@ def part_points(spark, sf):
     )
 
 
-# customers or suppliers in three groups that stand apart; a group goes by its least member
-GROUP_SQL = "SELECT {0}key AS row_id, min({0}key) OVER (PARTITION BY {0}key % 3) AS member FROM {1}"
+# points moved into three groups that stand apart; a group goes by its least member
+GROUP_SQL = "SELECT {0} AS row_id, min({0}) OVER (PARTITION BY {0} % 3) AS member FROM {1}"
 
 
-def far_groups(spark, sf, name, start):
-    key, x, y = F.col(f"{start}key"), F.col(f"{name[0]}_acctbal") / 50000, F.col(f"{name[0]}_nationkey") / 100.0
-    return table(spark, sf, name).select(key.alias("row_id"), (x + 5 * (key % 3)).alias("a"), (y - 3 * (key % 3)).alias("b"))
+def far_groups(rows, key, a, b):
+    group = F.col(key) % 3
+    return rows.select(F.col(key).alias("row_id"), (a + 5 * group).alias("a"), (b - 3 * group).alias("b"))
 
 
 def by_member(labels):
@@ -213,14 +213,16 @@ def by_member(labels):
     return labels.join(least, "label").select("row_id", "member")
 
 
-@query("f10_kmeans", GROUP_SQL.format("c_cust", "customer"))
+@query("f10_kmeans", GROUP_SQL.format("c_custkey", "customer"))
 def kmeans(spark, sf):
-    return by_member(K.kmeans(X.minmax_scale(far_groups(spark, sf, "customer", "c_cust"), ["a", "b"]), ["a", "b"], "row_id", 3)[0])
+    points = far_groups(table(spark, sf, "customer"), "c_custkey", F.col("c_acctbal") / 50000, F.col("c_nationkey") / 100.0)
+    return by_member(K.kmeans(X.minmax_scale(points, ["a", "b"]), ["a", "b"], "row_id", 3)[0])
 
 
-@query("f11_spectral_clustering", GROUP_SQL.format("s_supp", "supplier"))
+@query("f11_spectral_clustering", GROUP_SQL.format("vec_id", "embeddings"))
 def spectral(spark, sf):
-    return by_member(K.spectral_clusters(far_groups(spark, sf, "supplier", "s_supp"), ["a", "b"], "row_id", 3))
+    points = far_groups(table(spark, sf, "embeddings"), "vec_id", F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))
+    return by_member(K.spectral_clusters(points, ["a", "b"], "row_id", 3))
 
 
 EPS = 0.2
