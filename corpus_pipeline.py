@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import encode_texts
 from tabwright.llm.crf import UNKNOWN, fit_language_model, language_of
-from tabwright.llm.golay import one_of_each
+from tabwright.llm.near_copies import one_of_each
 from tabwright.llm.secrets import redacted
 from tabwright.llm.text import kept_column
 from tabwright.llm.wumanber import benchmark_spans
@@ -32,7 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id."""
+    """One document of each near-duplicate group stays, the one with the least id.
+
+    Fingerprints link at two of 64 bits; near copies at a five-word overlap of 0.8 or more.
+    """
     return one_of_each(docs)
 
 

@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.exprs import c
 from tabwright.llm.text import id_and_text, slices
 from tabwright.operators.components import connected_components
 from tabwright.session import write_through
@@ -176,10 +175,11 @@ def links_between(distinct: DataFrame) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
-def near_groups(prints: DataFrame) -> DataFrame:
-    """(fp, component): the least fingerprint reachable from each distinct one."""
+def near_groups(prints: DataFrame, more_links: DataFrame | None = None) -> DataFrame:
+    """(fp, component): the least fingerprint reachable from each distinct one, also over ``more_links`` (a, b) if given."""
     distinct = prints.select("fp").distinct()
-    links = write_through(links_between(distinct), "golay-links")
+    links = links_between(distinct)
+    links = write_through(links if more_links is None else links.unionByName(more_links).distinct(), "golay-links")
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     found = connected_components(nodes, links).select(F.col("id").alias("fp"), "component")
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
@@ -202,20 +202,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row kept of each near-duplicate group: the least id, then the least row hash.
-
-    Columns and their order are kept. Of wholly equal rows one stays. A null id
-    comes after all others of its group.
-    """
-    name = F.coalesce(c(id_col).cast("string"), F.lit(""))
-    row = F.xxhash64(*[c(x).cast("string") if x == id_col else c(x) for x in docs.columns])
-    prints = write_through(fingerprints(docs, name.alias("name"), row.alias("row"), id_col=id_col, text_col=text_col), "simhash")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "name", "row")
-    best = prints.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = near_groups(prints).join(best, "fp").groupBy("component").agg(F.min("best").alias("best"))
-    winners = kept.select(F.col("best.name").alias("__name"), F.col("best.row").alias("__row")).distinct()
-    named = docs.select(*[c(x) for x in docs.columns], name.alias("__name"), row.alias("__row"))
-    return named.join(winners, ["__name", "__row"], "left_semi").dropDuplicates(["__name", "__row"]).select(*[c(x) for x in docs.columns])

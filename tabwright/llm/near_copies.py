@@ -1,0 +1,242 @@
+"""Near copies by a long SimHash of five-word shingles, found through anchored Golay keys.
+
+Texts whose sets of five-word shingles overlap by 0.8 (Jaccard) differ in about
+0.15 of their SimHash bits, far more than the two bits of ``golay``. Here a text
+has 256 bits. Two 23-bit segments are decoded to nearby Golay codewords, about
+five keys each; two texts share one surely at up to two errors in a segment and
+often at three to five. A 12-bit index alone would fill its buckets at any
+size, so each is joined to an anchor, the least shingle hash under one of
+``ANCHORS`` orders, which two such texts share with probability 0.8. Texts that
+share a key are compared on all 256 bits (``LINKED``), and the closest links that
+connect them are checked on their whole shingle sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabwright.functions.exprs import c
+from tabwright.llm.golay import codeword_index, fingerprint, near_groups
+from tabwright.llm.text import buffer_of, byte_table, id_and_text, mixed, slices, words_of
+from tabwright.session import write_through
+
+WIDTH = 5
+#: 64-bit words of a fingerprint
+LANES = 4
+ANCHORS = 6
+SIMILARITY = 0.8
+#: differing bits of 256 up to which texts are compared; an overlap of 0.8 gives 39 on average with a deviation of 6
+LINKED = 52
+FAR = 64 * LANES + 1
+#: a key shared by more texts than this is settled in blocks of about this size
+BLOCK = 64
+STEPS = mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SKETCH = [f"s{k}" for k in range(LANES)] + [f"a{k}" for k in range(ANCHORS)]
+MEMBER = f"struct(fp, {', '.join(SKETCH[:LANES])})"
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the five-word shingles of a text's word hashes; fewer than five words are one shingle."""
+    width = min(WIDTH, len(words))
+    n = len(words) - width + 1
+    return np.unique(mixed(sum((words[k : k + n] * STEPS[k] for k in range(width)), np.zeros(n, np.uint64))))
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """Fingerprint words and anchors of a text's word hashes; zeros if it has none."""
+    if not len(words):
+        return np.zeros(len(SKETCH), np.uint64)
+    found, out = shingles(words), []
+    for k in range(LANES):
+        h, ones = mixed(found * STEPS[8 + k] + STEPS[16 + k]), np.zeros(64, np.int64)
+        for a in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(((2 * ones > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+    out += [mixed(found * STEPS[24 + k] + STEPS[32 + k]).min() for k in range(ANCHORS)]
+    return np.array(out, np.uint64)
+
+
+def sketches(texts: pa.Array) -> np.ndarray:
+    """One row of ``SKETCH`` per text."""
+    w = words_of(*buffer_of(texts), byte_table("solid"))
+    rows = [sketch(w.hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    return np.array(rows, np.uint64).reshape(-1, len(SKETCH))
+
+
+def sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        fp = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
+        made = sketches(batch["text"]).view(np.int64)
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(fp), *[pa.array(x) for x in made.T]], [*names, "fp", *SKETCH])
+
+
+def keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flips = np.concatenate([[0], 1 << np.arange(23)])
+    for whole in batches:
+        for a in range(0, whole.num_rows, 4096):
+            batch = whole.slice(a, 4096)
+            fp, lane = (batch[x].to_numpy(zero_copy_only=False) for x in ("fp", "s0"))
+            anchors = [batch[f"a{k}"].to_numpy(zero_copy_only=False).view(np.uint64) for k in range(ANCHORS)]
+            rows, keys = [], []
+            for seg in range(2):
+                part = (lane >> (23 * seg)) & 0x7FFFFF
+                index = np.sort(codeword_index(part[:, None] ^ flips), axis=1)
+                fresh = np.ones(index.shape, bool)
+                fresh[:, 1:] = index[:, 1:] != index[:, :-1]
+                row, col = np.nonzero(fresh)
+                at = (index[row, col] << 1 | seg).astype(np.uint64)
+                for k in range(ANCHORS):
+                    rows.append(row)
+                    keys.append(mixed(anchors[k][row] * STEPS[40 + k] + at * STEPS[48]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(fp[np.concatenate(rows)])], ["key", "fp"])
+
+
+def lanes_of(members: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    v = members.values
+    bits = np.stack([v.field(x).to_numpy(zero_copy_only=False) for x in SKETCH[:LANES]], axis=1).view(np.uint64)
+    return v.field("fp").to_numpy(zero_copy_only=False), bits
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits between rows of fingerprint words."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+
+
+def trees(bits: np.ndarray) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """(closest links that connect what chains of at most ``LINKED`` bits connect, members of each tree)."""
+    n = len(bits)
+    best, via, todo = np.full(n, FAR), np.zeros(n, np.int64), np.ones(n, bool)
+    links, groups = [], []
+    for _ in range(n):
+        x = int(np.where(todo, best, FAR + 1).argmin())
+        todo[x] = False
+        if best[x] > LINKED:
+            groups.append([x])
+        else:
+            groups[-1].append(x)
+            links.append((x, int(via[x])))
+        nearer = bits[x] < best
+        best[nearer], via[nearer] = bits[x][nearer], x
+    return links, groups
+
+
+def as_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    made = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+
+def verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for m in batch["members"]:
+            fp, bits = lanes_of(m)
+            links += [(int(fp[x]), int(fp[y])) for x, y in trees(apart(bits, bits))[0]]
+        yield as_links(links)
+
+
+def settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block against the first block of its key: links, and with a null ``b`` the members that stay outside its largest tree."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            fp, bits = lanes_of(batch["members"][i])
+            hub_fp, hub = lanes_of(batch["hubs"][i])
+            links, groups = trees(apart(hub, hub))
+            core = max(groups, key=len)
+            met = apart(bits, hub[core])
+            inside = met.min(axis=1) <= LINKED
+            made = [(hub_fp[x], hub_fp[y]) for x, y in links]
+            made += list(zip(fp[inside], hub_fp[core][met[inside].argmin(axis=1)], strict=True))
+            outside = fp[~inside]
+            a = np.concatenate([np.array([x for x, _ in made], np.int64), outside])
+            b = pa.array([*[int(y) for _, y in made], *[None] * len(outside)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), batch["key"][i].as_py())), pa.array(np.full(len(a), batch["block"][i].as_py())), pa.array(a), b], ["key", "block", "a", "b"])
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outside members of one block against a whole block of the same key."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            fp, bits = lanes_of(batch["members"][i])
+            out_fp, out = lanes_of(batch["outside"][i])
+            n = len(out_fp)
+            both = np.concatenate([out_fp, fp])
+            met = np.full((len(both),) * 2, FAR)
+            met[:n, n:] = np.where(out_fp[:, None] == fp, FAR, apart(out, bits))
+            met[n:, :n] = met[:n, n:].T
+            yield as_links([(int(both[p]), int(both[q])) for p, q in trees(met)[0]])
+
+
+def checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links whose two texts have an overlap of ``SIMILARITY`` or more."""
+    for batch in slices(slices(batches, col="text_a"), col="text_b"):
+        wa, wb = (words_of(*buffer_of(batch[x]), byte_table("solid")) for x in ("text_a", "text_b"))
+        keep = []
+        for i in range(batch.num_rows):
+            a, b = (shingles(w.hashes[w.first[i] : w.first[i + 1]]) for w in (wa, wb))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(a) + len(b) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copy_links(made: DataFrame) -> DataFrame:
+    """(a, b) likely links between the ``fp`` of near copies; ``made`` is (fp, ``SKETCH`` columns), a row per fp.
+
+    A key with up to ``BLOCK`` texts is one comparison of all. A fuller key is
+    dealt into blocks by a hash; every block is compared with the first, whose
+    largest tree gathers a group of copies at the cost of its size. Members
+    outside that tree are compared with all blocks of their key, so nothing a
+    key brings together is lost. Only links that join trees are returned, never
+    all pairs.
+    """
+    keyed = write_through(made.mapInArrow(keying, "key bigint, fp bigint"), "near-keys")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lanes = made.select("fp", *SKETCH[:LANES])
+    shared = write_through(keyed.join(sizes, "key").join(lanes, "fp"), "near-shared")
+    paired = shared.where(F.col("n") <= BLOCK).groupBy("key").agg(F.collect_list(F.expr(MEMBER)).alias("members"))
+    few = paired.select("members").mapInArrow(verifying, "a bigint, b bigint")
+    block = F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    full = shared.where(F.col("n") > BLOCK).select("key", block, F.expr(MEMBER).alias("m"))
+    blocks = write_through(full.groupBy("key", "block").agg(F.collect_list("m").alias("members")), "near-blocks")
+    hubs = blocks.groupBy("key").agg(F.min_by("members", "block").alias("hubs"))
+    settled = write_through(blocks.join(hubs, "key").mapInArrow(settling, "key bigint, block bigint, a bigint, b bigint"), "near-settled")
+    outside = settled.where("b is null").select("key", "block", F.col("a").alias("fp")).join(lanes, "fp")
+    outside = outside.groupBy("key", F.col("block").alias("from")).agg(F.collect_list(F.expr(MEMBER)).alias("outside"))
+    rest = blocks.join(outside, "key").select("members", "outside").mapInArrow(meeting, "a bigint, b bigint")
+    return few.unionByName(settled.where("b is not null and a <> b").select("a", "b")).unionByName(rest).distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row kept of each near-duplicate group: the least id, then the least row hash.
+
+    Texts link as in ``golay.near_duplicates`` (two bits of 64) or as near copies
+    (five-word shingles overlapping by ``SIMILARITY`` or more). Columns and their order are kept. Of wholly equal
+    rows one stays. A null id comes after all others of its group. Texts without
+    words, null ones included, are one group.
+    """
+    name = F.coalesce(c(id_col).cast("string"), F.lit(""))
+    row = F.xxhash64(*[c(x).cast("string") if x == id_col else c(x) for x in docs.columns])
+    d = id_and_text(docs, id_col, text_col, name.alias("name"), row.alias("row"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
+    longs = ", ".join(f"{x} bigint" for x in SKETCH)
+    prints = write_through(d.mapInArrow(sketching, f"{kept}, fp bigint, {longs}"), "near-sketches")
+    chosen = prints.where("fp <> 0").groupBy("fp").agg(F.min(F.struct("name", "row", *SKETCH)).alias("s")).select("fp", "s.*")
+    chosen = write_through(chosen, "near-distinct")
+    likely = write_through(near_copy_links(chosen.select("fp", *SKETCH)), "near-likely")
+    meant = likely.select(F.col("a").alias("fp")).unionByName(likely.select(F.col("b").alias("fp"))).distinct()
+    texts = d.join(chosen.select("fp", "name", "row").join(meant, "fp"), ["name", "row"]).groupBy("fp").agg(F.first("text").alias("text"))
+    texts = write_through(texts, "near-texts")
+    pairs = likely.join(texts.selectExpr("fp AS a", "text AS text_a"), "a").join(texts.selectExpr("fp AS b", "text AS text_b"), "b")
+    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(checking, "a bigint, b bigint")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "name", "row")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best"))
+    groups = near_groups(prints, links)
+    first = groups.join(best, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    winners = first.select(F.col("best.name").alias("__name"), F.col("best.row").alias("__row")).distinct()
+    named = docs.select(*[c(x) for x in docs.columns], name.alias("__name"), row.alias("__row"))
+    return named.join(winners, ["__name", "__row"], "left_semi").dropDuplicates(["__name", "__row"]).select(*[c(x) for x in docs.columns])
