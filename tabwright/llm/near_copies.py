@@ -37,6 +37,7 @@ FAR = 64 * LANES + 1
 BLOCK = 64
 STEPS = mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SKETCH = [f"s{k}" for k in range(LANES)] + [f"a{k}" for k in range(ANCHORS)]
+BLOCK_OF = F.expr(f"pmod(xxhash64(fp, key), ceil(n / {BLOCK}))")
 MEMBER = f"struct(fp, {', '.join(SKETCH[:LANES])})"
 
 
@@ -126,7 +127,7 @@ def trees(bits: np.ndarray) -> tuple[list[tuple[int, int]], list[list[int]]]:
     return links, groups
 
 
-def as_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+def as_links(links: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
     made = np.array(links, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
@@ -140,8 +141,32 @@ def verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield as_links(links)
 
 
+def central(bits: np.ndarray) -> np.ndarray:
+    """Order of the rows by their distance to the majority of all; what many were copied from lies there."""
+    ones = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    most = np.packbits(2 * ones > len(bits), bitorder="little").view(np.uint64)
+    return np.argsort(np.bitwise_count(bits ^ most).sum(axis=1, dtype=np.int64), kind="stable")
+
+
+def nominating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most central member of each block."""
+    for batch in batches:
+        best = [m.values.take(pa.array([central(lanes_of(m)[1])[0]])) for m in batch["members"]]
+        if best:
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.concat_arrays(best)], ["key", "m"])
+
+
+def gathering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to ``BLOCK`` hubs of each key among its blocks' members, the most central first."""
+    for batch in batches:
+        hubs = [m.values.take(pa.array(central(lanes_of(m)[1])[:BLOCK])) for m in batch["members"]]
+        if hubs:
+            ends = np.cumsum([0, *map(len, hubs)])
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(hubs))], ["key", "hubs"])
+
+
 def settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block against the first block of its key: links, and with a null ``b`` the members that stay outside its largest tree."""
+    """Each block against the hubs of its key: links, each also to the first hub, and with a null ``b`` the members outside the hubs' largest tree."""
     for batch in batches:
         for i in range(batch.num_rows):
             fp, bits = lanes_of(batch["members"][i])
@@ -152,6 +177,7 @@ def settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = met.min(axis=1) <= LINKED
             made = [(hub_fp[x], hub_fp[y]) for x, y in links]
             made += list(zip(fp[inside], hub_fp[core][met[inside].argmin(axis=1)], strict=True))
+            made += [(x, hub_fp[0]) for x in fp[apart(bits, hub[:1])[:, 0] <= LINKED]]
             outside = fp[~inside]
             a = np.concatenate([np.array([x for x, _ in made], np.int64), outside])
             b = pa.array([*[int(y) for _, y in made], *[None] * len(outside)], pa.int64())
@@ -172,6 +198,16 @@ def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield as_links([(int(both[p]), int(both[q])) for p, q in trees(met)[0]])
 
 
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair up to ``LINKED`` bits apart of a block and outside members of its key that lie in different components."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (fp, bits), (out_fp, out) = lanes_of(batch["members"][i]), lanes_of(batch["outside"][i])
+            own, other = (batch[x][i].values.field("component").to_numpy(zero_copy_only=False) for x in ("members", "outside"))
+            x, y = np.nonzero((apart(out, bits) <= LINKED) & (other[:, None] != own))
+            yield as_links(np.sort(np.stack([out_fp[x], fp[y]], axis=1), axis=1))
+
+
 def checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links whose two texts have an overlap of ``SIMILARITY`` or more."""
     for batch in slices(slices(batches, col="text_a"), col="text_b"):
@@ -184,31 +220,54 @@ def checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copy_links(made: DataFrame) -> DataFrame:
-    """(a, b) likely links between the ``fp`` of near copies; ``made`` is (fp, ``SKETCH`` columns), a row per fp.
+def sharing(made: DataFrame) -> DataFrame:
+    """(key, fp, n, ``SKETCH`` lanes): the keys that ``n`` > 1 texts share."""
+    keyed = write_through(made.mapInArrow(keying, "key bigint, fp bigint"), "near-keys")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return write_through(keyed.join(sizes, "key").join(made.select("fp", *SKETCH[:LANES]), "fp"), "near-shared")
+
+
+def likely_links(shared: DataFrame) -> DataFrame:
+    """(a, b) links that are likely to connect the members of each key, to be checked on the texts.
 
     A key with up to ``BLOCK`` texts is one comparison of all. A fuller key is
-    dealt into blocks by a hash; every block is compared with the first, whose
-    largest tree gathers a group of copies at the cost of its size. Members
-    outside that tree are compared with all blocks of their key, so nothing a
-    key brings together is lost. Only links that join trees are returned, never
-    all pairs.
+    dealt into blocks by a hash; every block is compared with the key's hubs, its
+    most central texts, which gathers a group of copies at the cost of its size.
+    Members outside the hubs' largest tree are compared with all blocks of their
+    key. Only links that join trees are returned; ``open_links`` has the pairs
+    that these do not settle.
     """
-    keyed = write_through(made.mapInArrow(keying, "key bigint, fp bigint"), "near-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lanes = made.select("fp", *SKETCH[:LANES])
-    shared = write_through(keyed.join(sizes, "key").join(lanes, "fp"), "near-shared")
+    lanes = shared.select("fp", *SKETCH[:LANES]).distinct()
     paired = shared.where(F.col("n") <= BLOCK).groupBy("key").agg(F.collect_list(F.expr(MEMBER)).alias("members"))
     few = paired.select("members").mapInArrow(verifying, "a bigint, b bigint")
-    block = F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    full = shared.where(F.col("n") > BLOCK).select("key", block, F.expr(MEMBER).alias("m"))
+    full = shared.where(F.col("n") > BLOCK).select("key", BLOCK_OF.alias("block"), F.expr(MEMBER).alias("m"))
     blocks = write_through(full.groupBy("key", "block").agg(F.collect_list("m").alias("members")), "near-blocks")
-    hubs = blocks.groupBy("key").agg(F.min_by("members", "block").alias("hubs"))
+    kind = blocks.schema["members"].dataType.simpleString()
+    chosen = blocks.select("key", "members").mapInArrow(nominating, f"key bigint, m {kind[6:-1]}")
+    hubs = chosen.groupBy("key").agg(F.collect_list("m").alias("members")).mapInArrow(gathering, f"key bigint, hubs {kind}")
     settled = write_through(blocks.join(hubs, "key").mapInArrow(settling, "key bigint, block bigint, a bigint, b bigint"), "near-settled")
     outside = settled.where("b is null").select("key", "block", F.col("a").alias("fp")).join(lanes, "fp")
     outside = outside.groupBy("key", F.col("block").alias("from")).agg(F.collect_list(F.expr(MEMBER)).alias("outside"))
     rest = blocks.join(outside, "key").select("members", "outside").mapInArrow(meeting, "a bigint, b bigint")
-    return few.unionByName(settled.where("b is not null and a <> b").select("a", "b")).unionByName(rest).distinct()
+    made = few.unionByName(settled.where("b is not null and a <> b").select("a", "b")).unionByName(rest)
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_links(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b) every pair of a key's members up to ``LINKED`` bits apart that ``groups`` (fp, component) leave in different components.
+
+    One of two such members lies outside the key's largest component, so only
+    those visit the blocks of the key. What a key brings together and the likely
+    links left apart is all here: a pair costs nothing once its group is found.
+    """
+    known = write_through(shared.join(groups, "fp"), "near-known")
+    by = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    split = by.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.count(F.lit(1)).alias("parts"))
+    left = write_through(known.join(split.where("parts > 1"), "key"), "near-split")
+    member = F.expr(MEMBER[:-1] + ", component)")
+    blocks = left.groupBy("key", BLOCK_OF.alias("block")).agg(F.collect_list(member).alias("members"))
+    outside = left.where("component <> core").groupBy("key", BLOCK_OF.alias("from")).agg(F.collect_list(member).alias("outside"))
+    return blocks.join(outside, "key").select("members", "outside").mapInArrow(crossing, "a bigint, b bigint").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,12 +286,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = write_through(d.mapInArrow(sketching, f"{kept}, fp bigint, {longs}"), "near-sketches")
     chosen = prints.where("fp <> 0").groupBy("fp").agg(F.min(F.struct("name", "row", *SKETCH)).alias("s")).select("fp", "s.*")
     chosen = write_through(chosen, "near-distinct")
-    likely = write_through(near_copy_links(chosen.select("fp", *SKETCH)), "near-likely")
-    meant = likely.select(F.col("a").alias("fp")).unionByName(likely.select(F.col("b").alias("fp"))).distinct()
-    texts = d.join(chosen.select("fp", "name", "row").join(meant, "fp"), ["name", "row"]).groupBy("fp").agg(F.first("text").alias("text"))
-    texts = write_through(texts, "near-texts")
-    pairs = likely.join(texts.selectExpr("fp AS a", "text AS text_a"), "a").join(texts.selectExpr("fp AS b", "text AS text_b"), "b")
-    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(checking, "a bigint, b bigint")
+    shared = sharing(chosen.select("fp", *SKETCH))
+
+    def checked(likely: DataFrame) -> DataFrame:
+        meant = likely.select(F.col("a").alias("fp")).unionByName(likely.select(F.col("b").alias("fp"))).distinct()
+        texts = d.join(chosen.select("fp", "name", "row").join(meant, "fp"), ["name", "row"]).groupBy("fp").agg(F.first("text").alias("text"))
+        texts = write_through(texts, "near-texts")
+        pairs = likely.join(texts.selectExpr("fp AS a", "text AS text_a"), "a").join(texts.selectExpr("fp AS b", "text AS text_b"), "b")
+        return write_through(pairs.select("a", "b", "text_a", "text_b").mapInArrow(checking, "a bigint, b bigint"), "near-links")
+
+    likely = write_through(likely_links(shared), "near-likely")
+    links = checked(likely)
+    more = write_through(open_links(shared, near_groups(prints, links)).join(likely, ["a", "b"], "left_anti"), "near-open")
+    if not more.isEmpty():
+        links = links.unionByName(checked(more))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "name", "row")
     best = prints.groupBy("fp").agg(F.min(order).alias("best"))
     groups = near_groups(prints, links)

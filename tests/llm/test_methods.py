@@ -206,3 +206,21 @@ def test_outside_members_meet_every_block():
     assert {r["a"] for r in out if r["b"] is not None} >= {10, 11, 12, 13}
     rest = pa.RecordBatch.from_arrays([pa.array([[member(21, aside ^ 1), member(22, main)]], kind), pa.array([[member(20, aside)]], kind)], ["members", "outside"])
     assert [{r["a"], r["b"]} for r in pa.Table.from_batches(near_copies.meeting([rest])).to_pylist()] == [{20, 21}]
+
+
+def star(rng, n, lean):
+    """A base of 400 words and copies of it, each with 8 of them changed: 0.82 to the base, about 0.68 to each other."""
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    return [" ".join(base), *(varied(base, 5 + np.sort(rng.choice(78, 8, replace=False)) * 5, f"{lean}{i}") for i in range(n))]
+
+
+def test_near_copies_of_one_base(spark):
+    """2,000 copies that overlap by 0.8 with their base only, and as many texts of one template that overlap with none."""
+    rng = np.random.default_rng(8)
+    texts = star(rng, 2000, "s")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts[:60]]
+    over = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.8 <= over(sets[0], s) < 0.84 for s in sets[1:]) and max(over(sets[1], s) for s in sets[2:]) < 0.8
+    texts += star(rng, 150, "t")[1:]  # the base is not among them
+    kept = sorted(r[0] for r in near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert kept == [0, *range(2001, 2151)]
