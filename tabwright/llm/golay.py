@@ -19,9 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.exprs import c
 from tabwright.llm.text import id_and_text, slices
 from tabwright.operators.components import connected_components
 from tabwright.session import write_through
@@ -202,3 +203,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def row_hash(docs: DataFrame, as_text: tuple[str, ...] = ()) -> Column:
+    """A 64-bit hash of all columns of a row; maps, which have no hash, go by their JSON."""
+    plain = [c(f.name).cast("string") if f.name in as_text else c(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    maps = [F.to_json(F.struct(c(f.name).alias("m"))) for f in docs.schema if "map<" in f.dataType.simpleString()]
+    return F.xxhash64(*plain, *maps)
+
+
+def unused(stem: str, names: list[str]) -> str:
+    """``stem``, with underscores until no column is called so in any case."""
+    taken = {n.lower() for n in names}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row kept of each group that ``near_duplicates`` links: the least id, then the least row hash.
+
+    Columns and their order are kept, whatever their names and types. Of wholly
+    equal rows one stays. A null id comes after all others of its group. Texts
+    without words (null, empty, only blanks) are one group. Texts of any length
+    are read whole; an empty table stays empty.
+    """
+    name = F.coalesce(c(id_col).cast("string"), F.lit(""))
+    row = row_hash(docs, (id_col,))
+    prints = write_through(fingerprints(docs, name.alias("name"), row.alias("row"), id_col=id_col, text_col=text_col), "simhash-rows")
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "name", "row")).alias("best"))
+    first = near_groups(prints).join(best, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    by = [unused(x, docs.columns) for x in ("kept_name", "kept_row")]
+    winners = first.select(F.col("best.name").alias(by[0]), F.col("best.row").alias(by[1])).distinct()
+    named = docs.select(*[c(x) for x in docs.columns], name.alias(by[0]), row.alias(by[1]))
+    return named.join(winners, by, "left_semi").dropDuplicates(by).select(*[c(x) for x in docs.columns])

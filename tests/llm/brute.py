@@ -110,23 +110,8 @@ def op6(docs):
 
 
 def near_kept(docs):
-    """Least ids of the groups that two-bit links and five-word overlaps of 0.8 or more connect."""
-    sets = []
-    for _, text in docs:
-        w = SOLID.findall((text or "").translate(LOWER))
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    name = {doc_id: g for doc_id, _, g in op6(docs)}
-
-    def top(x):
-        while name[x] != x:
-            x = name[x]
-        return x
-
-    for (i, a), (j, b) in combinations(enumerate(sets), 2):
-        if 5 * len(a & b) >= 4 * len(a | b) > 0:
-            x, y = sorted((top(docs[i][0]), top(docs[j][0])))
-            name[y] = x
-    return sorted({top(x) for x in name})
+    """Least ids of the groups that fingerprints link."""
+    return sorted({g for _, _, g in op6(docs)})
 
 
 def op7(docs):

@@ -122,7 +122,8 @@ def test_pipeline_on_awkward_rows(spark, edge, tokenizer):
         out = stage(spark, docs, edge)
         assert out.schema.simpleString() == docs.schema.simpleString()
         docs = spark.createDataFrame(out.collect(), docs.schema)
-    assert docs.count() > 0
+    ids = sorted((tuple(r)[:2] for r in dict(corpus_pipeline.STAGES)["bpe_encoding"](spark, docs, edge).collect()), key=repr)
+    assert docs.count() > 0 and ids == sorted(((r["doc_id"], len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect()), key=repr)
 
 
 def test_pipeline_against_brute_force(spark, tokenizer):

@@ -4,15 +4,14 @@ import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from tabwright.llm import golay, licenses, near_copies, rules, secrets, token_files, wumanber
+from tabwright.llm import golay, licenses, rules, secrets, token_files, wumanber
 from tabwright.llm.bpe import Encoder, Vocabulary, decode_ids, default_path, encode_texts
 from tabwright.llm.crf import fit_language_model, language_of
 from tabwright.llm.queries import QUERIES
 from tests.llm import brute
-from tests.llm.conftest import MIT
+from tests.llm.conftest import BODY, MIT
 
 CLEAN = "/root/testdata/sf0.01"
 
@@ -159,68 +158,16 @@ def test_rules_without_both_labels(spark):
     assert one > 0.5 and none == pytest.approx(0.5)
 
 
-def varied(base, places, tag):
-    w = list(base)
-    for p in places:
-        w[p] = f"{tag}x{p}"
-    return " ".join(w)
-
-
-def test_near_copies_of_every_overlap(spark):
-    """Pairs from one to six changed words: what overlaps by 0.8 or more goes, less stays; recall against brute force."""
-    rng = np.random.default_rng(5)
-    texts = []
-    for i in range(240):
-        base = [f"w{x}" for x in rng.integers(0, 900, 200)]
-        texts += [" ".join(base), varied(base, rng.choice(200, 1 + i % 6, replace=False), f"n{i}")]
-    docs = [(i, t) for i, t in enumerate(texts)]
-    kept = {r[0] for r in near_copies.one_of_each(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    want = set(brute.near_kept(docs))
-    assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))
-
-
-def test_near_copies_in_full_keys(spark):
-    """A group far above a block, and another that shares its anchors only: one of each stays, with texts of their own."""
-    rng = np.random.default_rng(6)
-    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
-    other = base[:150] + [f"v{x}" for x in rng.integers(0, 5000, 150)]
-    texts = [varied(base, rng.choice(300, 2, replace=False), f"a{i}") for i in range(400)]
-    texts += [varied(other, rng.choice(300, 2, replace=False), f"b{i}") for i in range(150)]
-    texts += [" ".join(f"u{x}" for x in rng.integers(0, 5000, 80)) for _ in range(50)]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    kept = sorted(r[0] for r in near_copies.one_of_each(d).collect())
-    assert kept == [0, 400, *range(550, 600)]
-
-
-def test_outside_members_meet_every_block():
-    """Members far from the first block's largest tree find their links in other blocks."""
-    rng = np.random.default_rng(7)
-    main, aside = rng.integers(0, 2**63, (2, near_copies.LANES), dtype=np.int64)
-    kind = pa.list_(pa.struct([("fp", pa.int64()), *[(x, pa.int64()) for x in near_copies.SKETCH[: near_copies.LANES]]]))
-    member = lambda fp, v: {"fp": fp, **dict(zip(near_copies.SKETCH, v.tolist(), strict=False))}
-    hubs = [member(i, main ^ (1 << i)) for i in range(5)]
-    block = [*[member(10 + i, main ^ (1 << i)) for i in range(4)], member(20, aside)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([3]), pa.array([block], kind), pa.array([hubs], kind)], ["key", "block", "members", "hubs"])
-    out = pa.Table.from_batches(near_copies.settling([batch])).to_pylist()
-    assert [r["a"] for r in out if r["b"] is None] == [20]
-    assert {r["a"] for r in out if r["b"] is not None} >= {10, 11, 12, 13}
-    rest = pa.RecordBatch.from_arrays([pa.array([[member(21, aside ^ 1), member(22, main)]], kind), pa.array([[member(20, aside)]], kind)], ["members", "outside"])
-    assert [{r["a"], r["b"]} for r in pa.Table.from_batches(near_copies.meeting([rest])).to_pylist()] == [{20, 21}]
-
-
-def star(rng, n, lean):
-    """A base of 400 words and copies of it, each with 8 of them changed: 0.82 to the base, about 0.68 to each other."""
-    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
-    return [" ".join(base), *(varied(base, 5 + np.sort(rng.choice(78, 8, replace=False)) * 5, f"{lean}{i}") for i in range(n))]
-
-
-def test_near_copies_of_one_base(spark):
-    """2,000 copies that overlap by 0.8 with their base only, and as many texts of one template that overlap with none."""
-    rng = np.random.default_rng(8)
-    texts = star(rng, 2000, "s")
-    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts[:60]]
-    over = lambda a, b: len(a & b) / len(a | b)
-    assert all(0.8 <= over(sets[0], s) < 0.84 for s in sets[1:]) and max(over(sets[1], s) for s in sets[2:]) < 0.8
-    texts += star(rng, 150, "t")[1:]  # the base is not among them
-    kept = sorted(r[0] for r in near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
-    assert kept == [0, *range(2001, 2151)]
+def test_one_of_each_with_awkward_columns(spark):
+    """Repeated rows, null ids, a map column and names that clash: the least id stays, its columns as they were."""
+    rows = [(3, BODY, "a", 1, {"k": 1}), (2, BODY.upper(), "b", 2, {"k": 2}), (2, BODY.upper(), "b", 2, {"k": 2}), (2, BODY, "c", 3, None),
+            (None, BODY, "d", 4, {}), (None, "other words stand here", "e", 5, {"z": 0}), (9, None, "f", 6, None), (8, " ", "g", 7, None), (None, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, KEPT_NAME string, kept_row int, m map<string,int>")
+    got = golay.one_of_each(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    kept = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert len(kept) == 3 and kept[1][0] == 8 and kept[2] == rows[5]
+    assert kept[0] in (rows[1], rows[3])
+    assert golay.one_of_each(docs.limit(0)).count() == 0
+    linked = golay.near_duplicates(docs.where("doc_id is not null")).groupBy("component_id").count().count()
+    assert linked == 2
