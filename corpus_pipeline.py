@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import encode_texts
 from tabwright.llm.crf import UNKNOWN, fit_language_model, language_of
-from tabwright.llm.near_copies import one_of_each
+from tabwright.llm.golay import one_of_each
 from tabwright.llm.secrets import redacted
 from tabwright.llm.text import kept_column
 from tabwright.llm.wumanber import benchmark_spans
@@ -24,7 +24,8 @@ def kept_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language: no text, no letter, or no language ahead of the others.
 
-    The model learns from the ``lang`` column of the documents given.
+    The model learns from the ``lang`` column of the documents given. Of languages
+    with equal shares the first by name counts.
     """
     model = fit_language_model(docs)
     found = language_of(docs, model, *docs.columns)
@@ -34,13 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least id.
 
-    Fingerprints link at two of 64 bits; near copies at a five-word overlap of 0.8 or more.
+    Fingerprints of three-word shingles link at two or fewer differing bits.
     """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
+    """Drops documents that hold a window of the benchmark; null and empty texts hold none, repeated rows go or stay together."""
     found = benchmark_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), *docs.columns)
     return kept_columns(found.where(F.size("spans") == 0), docs)
 
@@ -54,7 +55,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
+    """(doc_id, n_tokens, ids, round_trip): token ids, and whether they decode to the text.
+
+    A row per document, repeated ones included; a null text is empty and has no ids.
+    """
     return encode_texts(docs).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
