@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -162,3 +163,85 @@ def op1(docs):
         (i, out_of(i), len(t), sum(x in seen for x in t), n, sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in t))
         for i, t in ((i, tokens(text)) for i, text in docs)
     ]
+
+
+def op11(pages):
+    """Rows that repeat the least id of a payload are responses; a null id is never the least."""
+    least: dict[str, int] = {}
+    for page, _, html in pages:
+        if page is not None:
+            least[html or ""] = min(least.get(html or "", page), page)
+    out = []
+    for page, _, html in pages:
+        data, first = (html or "").encode(), least.get(html or "")
+        again = first is not None and page != first
+        sha1 = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out.append((page, len(data), sha1, "revisit" if again else "response", first if again else None))
+    return out
+
+
+def op12(rows, fan=8):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+
+    def field(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r):
+        return sha("".join(field(v) for v in r))
+
+    def tree(hashes):
+        """(top, siblings and places of each leaf from its run to the top)."""
+        ways = [[] for _ in hashes]
+        under = [[i] for i in range(len(hashes))]
+        while len(hashes) > 1:
+            above, over = [], []
+            for a in range(0, len(hashes), fan):
+                run = hashes[a : a + fan]
+                for k in range(len(run)):
+                    for i in under[a + k]:
+                        ways[i].append((run[:k], run[k + 1 :]))
+                above.append(sha("".join(run)))
+                over.append([i for k in range(len(run)) for i in under[a + k]])
+            hashes, under = above, over
+        return hashes[0], ways
+
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    built = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, bytes.fromhex(leaf(r))))
+        built[g] = tree([leaf(r) for r in groups[g]])
+    if not order:
+        return []
+    root, up = tree([built[g][0] for g in order])
+    out = []
+    for k, g in enumerate(order):
+        for r, way in zip(groups[g], built[g][1], strict=True):
+            changed = zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 3 == 0 and r[4] is not None
+            folded = leaf((*r[:4], r[4].translate(LOWER))) if changed else leaf(r)
+            proof = ""
+            for left, right in way + up[k]:
+                proof += "".join(left + right)
+                folded = sha("".join([*left, folded, *right]))
+            out.append((r[0], leaf(r), built[g][0], root, sha(proof), folded, folded == root))
+    return out
+
+
+def op13(docs):
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        n = len(text)
+        h = sha("1:" + ("" if doc_id is None else str(doc_id)))
+        h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        pre, mid, suf = text[:a], text[a:b], text[b:]
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+            out.append((doc_id, n, "plain", None, None, sha(text), sha(text)))
+        elif h4 % 100 < 20:
+            out.append((doc_id, n, "spm", a, b - a, sha(f"<S>{suf}<P>{pre}<M>{mid}"), sha(text)))
+        else:
+            out.append((doc_id, n, "psm", a, b - a, sha(f"<P>{pre}<S>{suf}<M>{mid}"), sha(text)))
+    return out

@@ -38,6 +38,14 @@ def edge(tmp_path_factory):
     pq.write_table(
         pa.table({"doc_id": pa.array([*ids[:20], None], pa.int64()), "quality": pa.array([1, 0, None] * 7, pa.int32()), "toxic": pa.array([0] * 21, pa.int32()), "text": ["z"] * 21}), d / "labels.parquet"
     )
+    pages = [(7, "http://a/ü b\r\nX: y", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u%41", None), (1, "u", ""), (None, "u", ""), (5, "v", "r" * 70_000), (6, "v", "r" * 70_000), (6, "v", "r" * 70_000),
+             (None, "w", "only here"), (None, "x", "only here"), (11, "y", "WARC/1.1\r\n\r\n\r\n"), (12, "z", "\x1f\x8b\x08"), (13, "z", "".join(f"<i>{k * k}</i>" for k in range(40_000)))]
+    pq.write_table(
+        pa.table(
+            {"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [p[1] for p in pages], "html": [p[2] for p in pages],
+             **{x: [str(i) for i in range(len(pages))] for x in ("id", "key", "payload", "first", "path", "content", "least", "n")}}
+        ), d / "pages.parquet",
+    )
     return str(d)
 
 
@@ -48,5 +56,6 @@ def empty(tmp_path_factory):
     text = pa.array([], pa.string())
     pq.write_table(pa.table({"doc_id": long, "text": text, "lang": text, "source": text, "n_chars": long}), d / "documents.parquet")
     pq.write_table(pa.table({"item_id": long, "text": text}), d / "benchmark.parquet")
+    pq.write_table(pa.table({"page_id": long, "url": text, "html": text}), d / "pages.parquet")
     pq.write_table(pa.table({"doc_id": long, "quality": pa.array([], pa.int32()), "toxic": pa.array([], pa.int32())}), d / "labels.parquet")
     return str(d)
