@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -30,13 +32,17 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.exprs import c
 from tabwright.functions.ordering import ranked_by_hash
+from tabwright.operators.boosting import Booster, BoostOptions, fit_booster
 from tabwright.operators.neighbours import nearest
 from tabwright.operators.sampling import oversample, undersample
 from tabwright.operators.scale import Scaler, fit_scaler
+from tabwright.operators.trees import Forest
 from tabwright.plans.options import SUPERVISED_MODELS
 
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are an error
-TREES = ("xgboost", "gradientboosting", "histgradientboosting")
+HISTOGRAM_BOOSTERS = ("xgboost", "histgradientboosting")
+#: rows above which the histogram booster with leaf limit holds rows back and may end early, as its model rule says
+EARLY_STOP_ROWS = 10_000
 LINEAR = ("logisticregression", "sgdclassifier")
 
 
@@ -65,13 +71,11 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
             subsamplingRate=float(p.get("max_samples", 1.0)),
             seed=seed,
         )
-    if name in TREES:
-        default = {"xgboost": (100, 6, 0.3, 32), "gradientboosting": (100, 3, 0.1, 32), "histgradientboosting": (100, 5, 0.1, 255)}[name]
+    if name == "gradientboosting":
         gbt = GBTClassifier(
-            maxIter=int(p.get("n_estimators", p.get("max_iter", default[0]))),
-            maxDepth=depth(default[1]),
-            stepSize=float(p.get("learning_rate", default[2])),
-            maxBins=default[3],
+            maxIter=int(p.get("n_estimators", 100)),
+            maxDepth=depth(3),
+            stepSize=float(p.get("learning_rate", 0.1)),
             subsamplingRate=float(p.get("subsample", 1.0)),
             seed=seed,
         )
@@ -99,6 +103,37 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
     raise ValueError(f"Unknown model: {name}")
 
 
+def boost_options(name: str, params: dict[str, Any], n: int, seed: int = 42) -> BoostOptions:
+    """Settings of a histogram booster by model name."""
+    p = dict(params)
+    if name == "xgboost":
+        return BoostOptions(
+            rounds=int(p.get("n_estimators", 100)),
+            rate=float(p.get("learning_rate", 0.3)),
+            max_depth=int(p.get("max_depth", 6)),
+            subsample=float(p.get("subsample", 1.0)),
+            l2=float(p.get("reg_lambda", 1.0)),
+            least_gain=float(p.get("gamma", 0.0)),
+            least_hessian=float(p.get("min_child_weight", 1.0)),
+            seed=seed,
+        )
+    depth = p.get("max_depth")
+    return BoostOptions(
+        rounds=int(p.get("max_iter", 100)),
+        rate=float(p.get("learning_rate", 0.1)),
+        max_depth=None if depth is None else int(depth),
+        max_leaves=int(p.get("max_leaf_nodes", 31)),
+        l2=float(p.get("l2_regularization", 0.0)),
+        least_hessian=1e-3,
+        least_rows=int(p.get("min_samples_leaf", 20)),
+        max_bins=int(p.get("max_bins", 255)),
+        softmax_hessian=1.0,
+        held_back=float(p.get("validation_fraction", 0.1)) if n > EARLY_STOP_ROWS else 0.0,
+        patience=int(p.get("n_iter_no_change", 10)),
+        seed=seed,
+    )
+
+
 @dataclass
 class FittedModel:
     """A fitted classifier with everything needed to score raw rows."""
@@ -107,7 +142,7 @@ class FittedModel:
     columns: tuple[str, ...]
     n_classes: int
     scaler: Scaler
-    stage: Any = None  # Spark ML model
+    stage: Any = None  # Spark ML model or Booster
     points: DataFrame | None = None  # k-NN: (id, v, label)
     k: int = 5
 
@@ -125,6 +160,10 @@ class FittedModel:
         """Adds ``prediction`` (int) and ``prob`` (array) to rows holding ``v``."""
         if self.points is not None:
             return self._vote(df, row_id)
+        if isinstance(self.stage, Booster):
+            return df.withColumn("prob", _booster_scores(self.stage)("v")).withColumn(
+                "prediction", (F.array_position("prob", F.array_max("prob")) - 1).cast("int")
+            ).select(*[c(x) for x in df.columns], "prediction", "prob")
         have = df.columns
         out = self.stage.transform(df.withColumn("features", array_to_vector(F.col("v"))))
         if isinstance(self.stage, OneVsRestModel):
@@ -179,7 +218,9 @@ class FittedModel:
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/meta")
-        if self.stage is not None:
+        if isinstance(self.stage, Booster):
+            _save_booster(self.stage, f"{path}/stage", spark)
+        elif self.stage is not None:
             self.stage.write().overwrite().save(f"{path}/stage")
         else:
             self.points.write.mode("overwrite").parquet(f"{path}/points")
@@ -190,7 +231,9 @@ class FittedModel:
         columns = tuple(meta["columns"])
         s = meta["scaler"]
         stage = points = None
-        if meta["stage"]:
+        if meta["stage"] == "Booster":
+            stage = _load_booster(f"{path}/stage", spark)
+        elif meta["stage"]:
             stage = _STAGES[meta["stage"]].load(f"{path}/stage")
         else:
             points = spark.read.parquet(f"{path}/points")
@@ -198,6 +241,43 @@ class FittedModel:
         return cls(meta["name"], columns, meta["n_classes"], scaler, stage, points, meta["k"])
 
 
+def _booster_scores(booster: Booster):
+    """Column function from feature arrays to class probabilities."""
+
+    @F.pandas_udf("array<double>")
+    def prob(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(booster.probabilities(np.vstack(v.to_numpy()).astype(float))))
+
+    return prob
+
+
+def _save_booster(b: Booster, path: str, spark: SparkSession) -> None:
+    """A row per node; the first row has the starting margins and sizes."""
+    f = b.forest
+    facts = {"base": b.base.tolist(), "rounds": b.rounds, "losses": b.losses, "n_features": f.n_features, "roots": f.roots.tolist()}
+    nodes = [
+        (i, int(f.feature[i]), float(f.threshold[i]), int(f.left[i]), int(f.right[i]), f.value[i].tolist(), float(f.cover[i])) for i in range(len(f.feature))
+    ]
+    schema = "node int, feature int, threshold double, left int, right int, value array<double>, cover double"
+    spark.createDataFrame(nodes, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def _load_booster(path: str, spark: SparkSession) -> Booster:
+    facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+    base = np.array(facts["base"], float)
+    d = spark.read.parquet(f"{path}/nodes").orderBy("node").toPandas()
+    value = np.vstack(d["value"].to_numpy()) if len(d) else np.zeros((0, len(base)))
+    whole = lambda name: d[name].to_numpy(np.int64)
+    forest = Forest(
+        np.array(facts["roots"], np.int64), whole("feature"), d["threshold"].to_numpy(float), whole("left"), whole("right"),
+        value, d["cover"].to_numpy(float), facts["n_features"],
+    )
+    return Booster(base, forest, facts["rounds"], [tuple(x) for x in facts["losses"]])
+
+
 _STAGES: dict[str, Any] = {
     m.__name__: m
     for m in (
@@ -242,7 +322,11 @@ def fit_model(
         out.k = int(params.get("n_neighbors", 5))
         out.points = vec.select(c(row_id).alias("id"), "v", "label")
         return out
-    if params.get("validation_fraction") and name in TREES:
+    if name in HISTOGRAM_BOOSTERS:
+        rows = vec.select(F.xxhash64(c(row_id).cast("string")).alias("key"), "label", "v")
+        out.stage = fit_booster(rows, len(columns), k, boost_options(name, params, int(facts["n"]), seed))
+        return out
+    if params.get("validation_fraction") and name == "gradientboosting":
         share = float(params["validation_fraction"])
         vec = ranked_by_hash(vec, seed, [row_id], by=["label"], out="__r")
         # evenly spaced ranks of each class, ⌊share·n⌋ of them
