@@ -4,7 +4,9 @@ Features are cut into bins once. A round grows a tree for each class output, and
 one job a level sums gradients, Hessians and rows per (tree, node, feature, bin):
 each task folds its rows into histograms, and only those are shuffled, by (tree,
 node, feature). The reducers return the best split of a feature, so the driver
-sees a few numbers per node and feature, whatever the number of rows.
+sees a few numbers per node and feature, whatever the number of rows. A node of
+at most ``NARROW_ROWS`` rows needs no further jobs: its rows meet in one task,
+which grows everything below it by the same rule.
 
 Rows with their bins and their scores so far lie in the shared folder. A task
 adds the trees grown since they were written, so a lost executor costs its tasks
@@ -28,6 +30,8 @@ from tabwright.operators.trees import Forest
 from tabwright.session import scratch_path
 
 REFRESH = 8
+#: a node of at most so many rows is grown to its end by one task
+NARROW_ROWS = 1 << 16
 #: cells (rows x features) of a partition
 PART_CELLS = 1 << 22
 
@@ -173,16 +177,24 @@ def loss_sums(margins: np.ndarray, label: np.ndarray, held: np.ndarray) -> list[
 
 
 SUMS = "tree int, node int, feature int, sums binary"
-SPLITS = "tree int, node int, feature int, gain double, cut int, g double, h double, n double, all_g double, all_h double, all_n double"
+SPLITS = "tree int, node int, feature int, gain double, cut int, g double, h double, n double, all_g double, all_h double, all_n double, at int, low int, high int"
+LEAST_GAIN = 1e-12
+#: in place of a feature: rows of a narrow node
+ROWS = -2
 
 
-def folding(o: BoostOptions, d: int, k: int, turn: int, pending: list, growing: list, front: list[list[int]], first: bool):
-    """A task's histograms of the open nodes; with ``first`` also the losses so far, as node -1."""
+def row_kind(d: int) -> np.dtype:
+    return np.dtype([("g", "f8"), ("h", "f8"), ("bins", "u1", (d,))])
+
+
+def folding(o: BoostOptions, d: int, k: int, turn: int, pending: list, growing: list, front: list[list[int]], narrow: list[list[int]], first: bool):
+    """A task's histograms of the open nodes and its rows of the narrow ones; with ``first`` also the losses so far, as node -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = o.max_bins
         totals = [np.zeros((3, d, len(nodes) * width)) for nodes in front]
         losses = np.zeros(4)
+        kept: dict[tuple[int, int], list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -195,12 +207,19 @@ def folding(o: BoostOptions, d: int, k: int, turn: int, pending: list, growing:
                 use &= spread(key, o.seed * 1_000_003 + turn) < o.subsample
             label, bins, p = label[use], bins[use], probabilities(margins[use])
             for output in range(k):
-                if not front[output]:
+                if not front[output] and not narrow[output]:
                     continue
                 col = output if k > 1 else 1
                 g = p[:, col] - (label == col)
                 h = np.maximum(p[:, col] * (1.0 - p[:, col]), 1e-16) * (o.softmax_hessian if k > 1 else 1.0)
                 at = walk(growing[output], bins)
+                for node in narrow[output]:
+                    here = at == node
+                    part = np.zeros(here.sum(), row_kind(d))
+                    part["g"], part["h"], part["bins"] = g[here], h[here], bins[here]
+                    kept.setdefault((output, node), []).append(part)
+                if not front[output]:
+                    continue
                 place = np.full(len(growing[output][0]), -1)
                 place[front[output]] = np.arange(len(front[output]))
                 slot = place[at]
@@ -219,6 +238,9 @@ def folding(o: BoostOptions, d: int, k: int, turn: int, pending: list, growing:
                     if part[2].any():
                         for name, v in zip(out, (output, node, j, np.ascontiguousarray(part).tobytes()), strict=True):
                             out[name].append(v)
+        for (output, node), part in kept.items():
+            for name, v in zip(out, (output, node, ROWS, np.concatenate(part).tobytes()), strict=True):
+                out[name].append(v)
         if first and losses[1] + losses[3]:
             for name, v in zip(out, (-1, -1, -1, losses.tobytes()), strict=True):
                 out[name].append(v)
@@ -248,18 +270,58 @@ def best_cut(sums: np.ndarray, o: BoostOptions) -> tuple:
     return (float(gain[b]), b, *low[:, b], *total)
 
 
-def choosing(o: BoostOptions):
+def histograms(rows: np.ndarray, width: int) -> np.ndarray:
+    """(features, 3, bins) sums of the rows."""
+    g, h, bins = rows["g"], rows["h"], rows["bins"]
+    return np.array([[np.bincount(b, w, width) for w in (g, h, None)] for b in bins.T])
+
+
+def local_splits(rows: np.ndarray, o: BoostOptions, depth_left: int | None) -> list[tuple]:
+    """(feature, best cut..., place, places of its children) of every split below a node, best first; place 0 is the node."""
+
+    def tried(rows: np.ndarray, left: int | None) -> tuple | None:
+        if left == 0 or len(rows) < 2:
+            return None
+        found = [best_cut(sums, o) for sums in histograms(rows, o.max_bins)]
+        f = max(range(len(found)), key=lambda j: (found[j][0], -j))
+        return (f, found[f]) if found[f][0] > LEAST_GAIN else None
+
+    out, places, todo = [], 1, []
+    start = tried(rows, depth_left)
+    if start is not None:
+        todo.append((-start[1][0], 0, rows, depth_left, start))
+    while todo and (o.max_leaves is None or len(out) + 1 < o.max_leaves):
+        _, at, rows, left, (f, cut) = heapq.heappop(todo)
+        low = rows["bins"][:, f] <= cut[1]
+        out.append((f, *cut, at, places, places + 1))
+        left = None if left is None else left - 1
+        for part in (rows[low], rows[~low]):
+            found = tried(part, left)
+            if found is not None:
+                heapq.heappush(todo, (-found[1][0], places, part, left, found))
+            places += 1
+    return out
+
+
+def choosing(o: BoostOptions, d: int, depths: list[dict[int, int]]):
+    """The best cut of a histogram, all splits below a narrow node, or the sums of the losses."""
+    names = [x.split()[0] for x in SPLITS.split(", ")]
+    kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()] + [pa.float64()] * 6 + [pa.int32()] * 3
+
     def run(table: pa.Table) -> pa.Table:
-        key = [table[x][0].as_py() for x in ("tree", "node", "feature")]
-        sums = sum(np.frombuffer(x, np.float64) for x in table["sums"].to_pylist())
-        if key[0] < 0:
-            found = (0.0, 0, sums[0], sums[1], sums[2], sums[3], 0.0, 0.0)
+        tree, node, feature = (table[x][0].as_py() for x in ("tree", "node", "feature"))
+        if feature == ROWS:
+            rows = np.frombuffer(b"".join(table["sums"].to_pylist()), row_kind(d))
+            left = None if o.max_depth is None else o.max_depth - depths[tree][node]
+            found = [(tree, node, *split) for split in local_splits(rows, o, left)]
+            if not found:
+                total = (float(rows["g"].sum()), float(rows["h"].sum()), float(len(rows)))
+                found = [(tree, node, 0, -1.0, 0, 0.0, 0.0, 0.0, *total, 0, 0, 0)]
         else:
-            found = best_cut(sums.reshape(3, -1), o)
-        values = [*key, found[0], found[1], *found[2:]]
-        kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()] + [pa.float64()] * 6
-        names = [x.split()[0] for x in SPLITS.split(", ")]
-        return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+            sums = sum(np.frombuffer(x, np.float64) for x in table["sums"].to_pylist())
+            best = (0.0, 0, *sums[:4], 0.0, 0.0) if tree < 0 else best_cut(sums.reshape(3, -1), o)
+            found = [(tree, node, feature, *best, 0, 0, 0)]
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -336,32 +398,45 @@ class Booster:
         return probabilities(self.margins(x))
 
 
-def grow(state: DataFrame, o: BoostOptions, d: int, k: int, turn: int, pending: list) -> tuple[list[Tree], tuple | None]:
-    """The trees of a round, one for each output, level by level; and the losses before it."""
-    trees = [Tree() for _ in range(k)]
-    front = [[0] for _ in range(k)]
+def grow(state: DataFrame, o: BoostOptions, d: int, k: int, turn: int, n: float, pending: list) -> tuple[list[Tree], tuple]:
+    """The trees of a round, one for each output, level by level; and the losses before it. ``n``: rows at a root."""
+    trees = [Tree(sums=[(0.0, 0.0, n)]) for _ in range(k)]
+    open_ = [[0] for _ in range(k)]
     losses = None
-    while any(front):
+    while any(open_):
         first = losses is None
-        grown = [t.arrays() for t in trees]
-        sums = state.mapInArrow(folding(o, d, k, turn, pending, grown, front, first), SUMS)
-        found = sums.groupBy("tree", "node", "feature").applyInArrow(choosing(o), SPLITS).collect()
+        narrow = [[x for x in nodes if t.sums[x][2] <= NARROW_ROWS] for t, nodes in zip(trees, open_, strict=True)]
+        front = [[x for x in nodes if t.sums[x][2] > NARROW_ROWS] for t, nodes in zip(trees, open_, strict=True)]
+        depths = [{x: t.depth[x] for x in nodes} for t, nodes in zip(trees, narrow, strict=True)]
+        sums = state.mapInArrow(folding(o, d, k, turn, pending, [t.arrays() for t in trees], front, narrow, first), SUMS)
+        found = sums.groupBy("tree", "node", "feature").applyInArrow(choosing(o, d, depths), SPLITS).collect()
         losses = losses or (math.nan, math.nan)
+        below: dict[tuple[int, int], list] = {}
         for r in sorted(found, key=lambda r: (r["tree"], r["node"], -r["gain"], r["feature"])):
             if r["tree"] < 0:
-                mean = lambda total, n: total / n if n else math.nan
+                mean = lambda total, rows: total / rows if rows else math.nan
                 losses = (mean(r["g"], r["h"]), mean(r["n"], r["all_g"]))
                 continue
             tree, node = trees[r["tree"]], r["node"]
-            if node == 0:
+            if node == 0 and r["at"] == 0:
                 tree.sums[0] = (r["all_g"], r["all_h"], r["all_n"])
-            if r["gain"] > 1e-12 and node not in tree.best:
+            if node in depths[r["tree"]]:
+                below.setdefault((r["tree"], node), []).append(r)
+            elif r["gain"] > LEAST_GAIN and node not in tree.best:
                 tree.best[node] = (r["gain"], r["feature"], r["cut"], r["g"], r["h"], r["n"])
-        front = []
-        for tree in trees:
+        open_ = []
+        for output, tree in enumerate(trees):
             new = [child for node in best_first(tree, o.max_leaves)[1] for child in tree.split(node)]
-            deep = o.max_depth is not None
-            front.append([n for n in new if not deep or tree.depth[n] < o.max_depth])
+            for node in narrow[output]:
+                places = {0: node}
+                for r in sorted(below.get((output, node), []), key=lambda r: r["low"]):
+                    if r["gain"] > LEAST_GAIN:
+                        tree.best[places[r["at"]]] = (r["gain"], r["feature"], r["cut"], r["g"], r["h"], r["n"])
+                        places[r["low"]], places[r["high"]] = tree.split(places[r["at"]])
+            if o.max_leaves is not None and narrow[output]:
+                # what a narrow node brought may outweigh splits guessed before
+                new += [child for node in best_first(tree, o.max_leaves)[1] for child in tree.split(node)]
+            open_.append([x for x in new if o.max_depth is None or tree.depth[x] < o.max_depth])
     return [pruned(t, o.max_leaves) for t in trees], losses
 
 
@@ -397,7 +472,7 @@ def fit_booster(rows: DataFrame, d: int, n_classes: int, options: BoostOptions)
     pending: list = []
     losses: list[tuple[float, float]] = []
     for turn in range(o.rounds):
-        trees, loss = grow(state, o, d, k, turn, pending)
+        trees, loss = grow(state, o, d, k, turn, n * o.subsample, pending)
         losses.append(loss)
         if o.held_back and len(losses) > o.patience:
             past = losses[-o.patience - 1][1]

@@ -100,7 +100,10 @@ def rows(spark, x, y):
         (3, B.BoostOptions(rounds=3, max_depth=2, least_gain=0.1)),
     ],
 )
-def test_leaves_equal_a_plain_booster(spark, classes, options):
+@pytest.mark.parametrize("narrow", [0, 50, 1 << 16])
+def test_leaves_equal_a_plain_booster(spark, monkeypatch, classes, options, narrow):
+    """By histograms alone, by histograms down to nodes of 50 rows, and with each tree grown in one task."""
+    monkeypatch.setattr(B, "NARROW_ROWS", narrow)
     x, y = sample(160, classes)
     b = B.fit_booster(rows(spark, x, y).repartition(3), 3, classes, options)
     assert b.rounds == options.rounds
@@ -115,6 +118,7 @@ def test_many_partitions_many_values_and_missing_ones(spark, monkeypatch):
     o = B.BoostOptions(rounds=5, max_depth=3, max_bins=64)
     one = B.fit_booster(rows(spark, x, y), 2, 2, o)
     monkeypatch.setattr(B, "PART_CELLS", 1000)
+    monkeypatch.setattr(B, "NARROW_ROWS", 500)
     many = B.fit_booster(rows(spark, x, y), 2, 2, o)
     np.testing.assert_allclose(one.margins(x), many.margins(x), atol=1e-9)
     assert ((one.probabilities(x)[:, 1] > 0.5) == y).mean() > 0.9
