@@ -99,4 +99,4 @@ def test_kmeans_and_density_find_blobs(spark):
     assert pure(C.density_clusters(df, ["x", "y"], "id", 1.0), df)
     noise = C.density_clusters(df, ["x", "y"], "id", 1e-6)
     assert noise.select("label").distinct().collect()[0][0] == -1
-    assert C.choose_eps(df, ["x", "y"], "id", [1.0, 20.0]) == 1.0
+    assert pure(C.hierarchical_density_clusters(df, ["x", "y"], "id", 8), df)
