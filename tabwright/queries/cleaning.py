@@ -246,15 +246,21 @@ def impute_mode(spark, sf):
     return C.impute_mode(messy(spark, sf), "segment").select("row_id", "segment")
 
 
+@query("c6_impute_iterative")
+def impute_iterative(spark, sf):
+    d = messy(spark, sf).select("row_id", "nation", "bit", "balance", "half")
+    return rounded(C.impute_iterative(d, ["nation", "bit", "balance", "half"], "row_id", only=["nation", "half"]), 4)
+
+
 # half is nation and a half: where one of them is missing, the other gives it
 @query(
-    "c6_impute_iterative",
+    "c6_impute_iterative_determined",
     MESSY_SQL
     + """
 SELECT row_id, round(coalesce(nation, half - 0.5E0), 1) AS nation, round(coalesce(half, nation + 0.5E0), 1) AS half FROM messy
 WHERE nation IS NOT NULL OR half IS NOT NULL""",
 )
-def impute_iterative(spark, sf):
+def impute_iterative_determined(spark, sf):
     m = messy(spark, sf)
     filled = C.impute_iterative(
         m.select("row_id", "nation", "bit", "balance", "half"), ["nation", "bit", "balance", "half"], "row_id", only=["nation", "half"]

@@ -191,8 +191,13 @@ SELECT (SELECT max(total) FROM m) AS matches, (SELECT count(*) FROM p) AS n_rows
 )
 
 
-@query("h23_align_clusters", ALIGN_SQL)
+@query("h23_align_clusters")
 def align(spark, sf):
+    return K.align_clusters(vectors(spark, sf))[1].select("vec_id", "label", "cluster", "aligned")
+
+
+@query("h23_align_clusters_totals", ALIGN_SQL)
+def align_totals(spark, sf):
     """Rows that match after aligning; every cluster has a label of its own. Equal totals may come from other pairings."""
     found = K.align_clusters(vectors(spark, sf))[1]
     return found.agg(
