@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.exprs import c, order_key
-from tabwright.session import input_bytes
+from tabwright.session import input_bytes, write_through
 
 
 def known_bytes(df: DataFrame) -> int:
@@ -107,8 +107,11 @@ def running_before(
 ) -> DataFrame:
     """For each ``column -> name``: sum of the column over the rows strictly before each row.
 
-    ``order_col`` must be distinct within a ``by`` group (group first).
+    ``order_col`` must be distinct within a ``by`` group (group first). The rows
+    are written once: bucket edges, bucket totals and sums inside a bucket read
+    that table, so whatever made the rows runs a single time.
     """
+    df = write_through(df, "running")
     b = value_buckets(df, order_col, "__vb")
     way = (lambda x: F.col(x).desc()) if descending else (lambda x: F.col(x).asc())
     keys = [c(k) for k in by]

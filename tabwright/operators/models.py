@@ -145,6 +145,7 @@ class FittedModel:
     stage: Any = None  # Spark ML model or Booster
     points: DataFrame | None = None  # k-NN: (id, v, label)
     k: int = 5
+    codes: DataFrame | None = None  # class labels and their codes
 
     def vectors(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Kept columns and the scaled feature array ``v`` in training column order."""
@@ -208,6 +209,7 @@ class FittedModel:
             "columns": list(self.columns),
             "n_classes": self.n_classes,
             "k": self.k,
+            "codes": self.codes is not None,
             "stage": type(self.stage).__name__ if self.stage is not None else None,
             "scaler": {
                 "kind": self.scaler.kind,
@@ -224,6 +226,8 @@ class FittedModel:
             self.stage.write().overwrite().save(f"{path}/stage")
         else:
             self.points.write.mode("overwrite").parquet(f"{path}/points")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> FittedModel:
@@ -238,7 +242,8 @@ class FittedModel:
         else:
             points = spark.read.parquet(f"{path}/points")
         scaler = Scaler(s["kind"], columns, tuple(s["shift"]), tuple(s["width"]))
-        return cls(meta["name"], columns, meta["n_classes"], scaler, stage, points, meta["k"])
+        codes = spark.read.parquet(f"{path}/codes") if meta.get("codes") else None
+        return cls(meta["name"], columns, meta["n_classes"], scaler, stage, points, meta["k"], codes)
 
 
 def _booster_scores(booster: Booster):

@@ -348,9 +348,11 @@ f AS (SELECT c, CAST(sum(r) OVER w AS DOUBLE) / sum(r) OVER (PARTITION BY c) AS
 k AS (SELECT CASE c WHEN 'q' THEN 'l_quantity' ELSE 'l_extendedprice' END AS "column", 'KSComplement' AS metric, 1 - max(abs(fr - fs)) AS quality_score FROM f GROUP BY c),
 n AS (SELECT l_returnflag AS t, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE l_linestatus <> 'O') AS DOUBLE) AS s FROM lineitem GROUP BY 1),
 tv AS (SELECT 'l_returnflag', 'TVComplement', 1 - sum(abs(r / (SELECT sum(r) FROM n) - s / (SELECT sum(s) FROM n))) / 2 FROM n),
-a AS (SELECT * FROM k UNION ALL SELECT * FROM tv)
+a AS (SELECT * FROM k UNION ALL SELECT * FROM tv), s AS (SELECT avg(quality_score) AS s FROM a),
+t AS (SELECT 1 - abs(corr(l_quantity, l_extendedprice) FILTER (WHERE l_linestatus = 'O') - corr(l_quantity, l_extendedprice) FILTER (WHERE l_linestatus <> 'O')) / 2 AS t FROM lineitem)
 SELECT "column", metric, round(quality_score, 6) AS quality_score FROM a
-UNION ALL SELECT 'overall', 'mean', round(avg(quality_score), 6) FROM a""",
+UNION ALL SELECT 'overall', 'mean', round((s + t) / 2, 6) FROM s, t
+UNION ALL SELECT 'shapes', 'mean', round(s, 6) FROM s UNION ALL SELECT 'pairs', 'mean', round(t, 6) FROM t""",
 )
 def quality(spark, sf):
     li = table(spark, sf, "lineitem")

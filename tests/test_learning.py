@@ -7,6 +7,7 @@ from tabwright.operators import impute as I
 from tabwright.operators import models as M
 from tabwright.operators import sampling as S
 from tabwright.operators import scale as X
+from tabwright.operators import scoring as SC
 from tabwright.operators import synth as Y
 from tabwright.operators import tuning as G
 from tabwright.operators.linalg import moment_matrix
@@ -308,6 +309,7 @@ def test_synthetic_rows_balance_and_resemble(spark):
     ones = Y.quality_report(df.where("y = 1"), new.where("y = 1"), cols)
     score = {r["column"]: r["quality_score"] for r in ones.collect()}
     assert all(score[x] > 0.7 for x in cols) and score["overall"] > 0.8
+    assert score["overall"] == pytest.approx((score["shapes"] + score["pairs"]) / 2) and score["shapes"] == pytest.approx(sum(score[x] for x in cols) / 4)
     assert new.where("y = 1").stat.corr("a", "c") > 0.9
     assert Y.pair_trends(df.where("y = 1"), new.where("y = 1"), ["a", "c"]).first()["score"] > 0.9
 
@@ -341,13 +343,18 @@ def test_clustering_run(spark, binary):
     assert run.labels.where("model = 'kmeans'").select("label").distinct().count() >= 2
 
 
-def test_labels_may_be_text_and_testset_separate(spark, multi):
+def test_labels_may_be_text_and_testset_separate(spark, multi, tmp_path):
     named = multi.withColumn("y", F.element_at(F.array(*[F.lit(x) for x in "cab"]), F.col("y") + 1))
     opts = TrainingOptions(class_column="y", train_group=("logisticregression",), parameter_tune=False, folds=2, shap_feature_explainability=False)
     run = train(named, opts, "row_id", testset=named.select("y", "f2", "f1", "row_id"))
     row = run.report.first()
     assert row["n_test"] == "120" and float(row["test_acc"]) > 0.5
     assert {r["label"]: r["code"] for r in run.codes.collect()} == {"a": 0, "b": 1, "c": 2}
+    # a saved model knows its labels: text labels are tested again from disk alone
+    path = str(tmp_path / "model")
+    M.save_model(run.models["logisticregression"], path, spark)
+    again = SC.retest(spark, {"logisticregression": path}, named, "y").first()
+    assert again["test_acc"] == pytest.approx(float(row["test_acc"]), abs=5e-4)
 
 
 def test_failed_trials_take_no_part(spark):

@@ -92,6 +92,26 @@ def test_spectral_finds_blobs(spark, affinity):
     assert pure(C.spectral_clusters(df, ["x", "y"], "id", 2, affinity=affinity, n_neighbors=6), df)
 
 
+def test_spectral_embedding_against_dense_algebra(spark, monkeypatch):
+    """A graph with a small gap and several restarts: the wanted eigenvectors, and an error when rounds run out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (90, 4))
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    a = np.zeros((90, 90))
+    for r in C.neighbour_graph(pts, 6).collect():
+        a[r["a"], r["b"]] = r["w"]
+    d = a.sum(1)
+    m = a / np.sqrt(np.outer(d, d))
+    values, vectors = np.linalg.eigh(m)
+    got = {r["id"]: r["u"] for r in C.spectral_embedding(pts, 3, n_neighbors=6, blocks=4, tol=1e-6).collect()}
+    u = np.array([got[i] for i in range(90)]) * np.sqrt(d)[:, None]
+    np.testing.assert_allclose(u.T @ u, np.eye(3), atol=1e-6)
+    np.testing.assert_allclose(np.diag(u.T @ m @ u), values[::-1][:3], atol=2e-3)
+    assert np.abs(u.T @ vectors[:, ::-1][:, 0]).max() > 0.999
+    with pytest.raises(C.NotSettled):
+        C.spectral_embedding(pts, 3, n_neighbors=6, blocks=1, rounds=1, tol=1e-12)
+
+
 def test_kmeans_and_density_find_blobs(spark):
     df = blobs(spark)
     labels, _ = C.kmeans(df, ["x", "y"], "id", 2, n_init=2)
