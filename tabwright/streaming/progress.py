@@ -49,13 +49,18 @@ EMITTED = "job bigint, ts timestamp, seq bigint, state string, completed bigint,
 def stream_changes(updates: DataFrame, idle: str = "1 hour") -> DataFrame:
     """``emit_on_change`` on a stream of (job, ts, seq, state, completed, total, message, log_length).
 
-    State per job is its last emitted values and whether it has ended; the
-    watermark of ``idle`` only clears jobs that fell silent.
+    State per job is its last emitted values and whether it has ended. A job
+    without an end that is silent for ``idle`` is forgotten and starts anew with
+    its next update; an ended job stays ended. Rows older than the watermark,
+    which trails the newest by ``idle``, are dropped by Spark.
     """
+    start = F.timestamp_seconds(F.lit(0))
+    idle_ms = int(updates.sparkSession.range(1).select(F.unix_millis(start + F.expr(f"INTERVAL {idle}"))).first()[0])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            if not state.get[1]:
+                state.remove()
             return
         last, ended = (None, False)
         if state.exists:
@@ -72,7 +77,8 @@ def stream_changes(updates: DataFrame, idle: str = "1 hour") -> DataFrame:
                 keep.append(i)
                 last = now
         state.update((last, ended))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 3_600_000)
+        if not ended:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + idle_ms)
         yield rows.iloc[keep]
 
     ordered = updates.select(

@@ -1,3 +1,4 @@
+import datetime
 import time
 
 import pytest
@@ -113,6 +114,23 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert rows_of(spark.table("changes")) == rows_of(P.emit_on_change(u))
 
 
+def test_silent_jobs_start_anew_and_ended_ones_do_not(spark, tmp_path):
+    """With ``idle`` of a minute: job 1 falls silent and is forgotten, job 2 has ended for good."""
+    schema = "job bigint, ts timestamp, seq bigint, state string, completed bigint, total bigint, message string, log_length bigint"
+    row = lambda job, minute, seq, state="running": (job, datetime.datetime(2026, 1, 1, 0, minute), seq, state, 1, 9, "m", 0)
+    files = [[row(1, 0, 0), row(2, 0, 0, "succeeded")], [row(9, 10, 0)], [row(9, 11, 1)], [row(1, 12, 1), row(2, 12, 1)]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = P.stream_changes(stream, idle="1 minute").writeStream.outputMode("append").format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted((r["job"], r["seq"]) for r in spark.table("silent").collect()) == [(1, 0), (1, 1), (2, 0), (9, 0)]
+
+
 def test_latest_progress_as_a_stream(spark, sf, tmp_path):
     u = updates(spark, sf)
     u.write.parquet(str(tmp_path / "in"))
