@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import exprs as X
+from tabwright.operators import categories as W
 from tabwright.operators import clean as C
 from tabwright.operators import profile as P
 from tabwright.queries.registry import query, rounded, table
@@ -319,6 +320,37 @@ def one_hot(spark, sf):
     return C.one_hot(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type")
 
 
+CODES_SQL = """
+WITH counts AS (SELECT CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1),
+codes AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, md5('0|' || value), value) - 1 AS code FROM counts)
+"""
+
+
+@query(
+    "c10_one_hot_sparse",
+    CODES_SQL
+    + """
+SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM codes) AS size, [CAST(code AS INTEGER)] AS indices, [1.0E0] AS "values"
+FROM lineitem JOIN codes ON value = CAST(l_orderkey AS VARCHAR)""",
+)
+def one_hot_sparse(spark, sf):
+    """A category for every order: as many as a quarter of the rows."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("order"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+    )
+    out = W.one_hot_sparse(lines, "order", "row_id")
+    # the struct inside a vector, read through its JSON form
+    shape = "struct<v:struct<size:bigint,indices:array<int>,values:array<double>>>"
+    inner = F.from_json(F.to_json(F.struct(F.col("order_vector").alias("v"))), shape)["v"]
+    return out.select("l_orderkey", "l_linenumber", inner["size"].alias("size"), inner["indices"].alias("indices"), inner["values"].alias("values"))
+
+
+@query("c11_category_dictionary", CODES_SQL + "SELECT value, n, code FROM codes")
+def category_dictionary(spark, sf):
+    return W.category_dictionary(table(spark, sf, "lineitem"), "l_orderkey")
+
+
 @query(
     "c11_record_categories",
     MESSY_SQL
