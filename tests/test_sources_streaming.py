@@ -131,6 +131,60 @@ def test_silent_jobs_start_anew_and_ended_ones_do_not(spark, tmp_path):
     assert sorted((r["job"], r["seq"]) for r in spark.table("silent").collect()) == [(1, 0), (1, 1), (2, 0), (9, 0)]
 
 
+UPDATE = "job bigint, ts timestamp, seq bigint, state string, completed bigint, total bigint, message string, log_length bigint"
+
+
+def update(job, minute, seq, completed, state="running"):
+    return (job, datetime.datetime(2026, 1, 1, 0, minute), seq, state, completed, 9, "m", 0)
+
+
+def feed(spark, tmp_path, files, **options):
+    """Changes and late updates of files that arrive one by one."""
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, UPDATE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05 if i < len(files) - 1 else 0)
+    stream = spark.readStream.schema(UPDATE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = P.stream_updates(stream, **options)
+    sink = P.write_with_late(str(tmp_path / "changes"), str(tmp_path / "late"))
+    q = out.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    read = lambda x: spark.read.schema(UPDATE).parquet(str(tmp_path / x))
+    return read("changes"), read("late")
+
+
+def test_late_updates_go_to_a_side_table(spark, tmp_path):
+    files = [[update(1, 0, 0, 0), update(1, 5, 2, 2)], [update(1, 3, 1, 1), update(2, 0, 0, 0)], [update(1, 6, 3, 3, "succeeded"), update(2, 4, 1, 1)], [update(2, 2, 9, 7), update(1, 7, 4, 9)]]
+    changes, late = feed(spark, tmp_path, files, idle="1 hour")
+    assert sorted((r["job"], r["seq"]) for r in changes.collect()) == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 1)]
+    assert sorted((r["job"], r["seq"]) for r in late.collect()) == [(1, 1), (2, 9)]
+    assert sorted((r["job"], r["n_late"]) for r in P.late_counts(late).collect()) == [(1, 1), (2, 1)]
+    # together with the late rows, the order of the whole feed is the batch answer
+    every = [r for f in files for r in f]
+    kept = [r for r in every if (r[0], r[2]) not in {(1, 1), (2, 9)}]
+    assert rows_of(changes) == rows_of(P.emit_on_change(spark.createDataFrame(kept, UPDATE)))
+
+
+def test_late_rows_within_the_delay_give_the_batch_answer(spark, tmp_path):
+    """Updates out of order by up to four minutes, idle as short as five; ends flush nothing early."""
+    files = [
+        [update(1, 0, 0, 0), update(1, 4, 2, 1)], [update(1, 2, 1, 1), update(2, 1, 0, 5)], [update(1, 7, 4, 4), update(2, 4, 2, 5)],
+        [update(1, 5, 3, 4), update(2, 3, 1, 6), update(1, 9, 5, 4, "failed")], [update(1, 20, 9, 9), update(2, 8, 3, 5)], [update(2, 12, 4, 6, "succeeded")], [update(2, 30, 5, 8)],
+    ]
+    changes, late = feed(spark, tmp_path, files, idle="5 minutes", delay="4 minutes")
+    assert late.count() == 0
+    assert rows_of(changes) == rows_of(P.emit_on_change(spark.createDataFrame([r for f in files for r in f], UPDATE)))
+
+
+def test_held_updates_come_out_when_a_job_goes_silent(spark, tmp_path):
+    """Nothing arrives from job 1 for longer than ``idle`` while job 9 goes on: its held update is passed on."""
+    files = [[update(1, 0, 0, 0)], [update(9, 0, 0, 0)], [update(9, 1, 1, 1)], [update(9, 2, 2, 2)]]
+    changes, _ = feed(spark, tmp_path, files, idle="1 milliseconds", delay="1 hour")
+    assert (1, 0) in {(r["job"], r["seq"]) for r in changes.collect()}
+
+
 def test_latest_progress_as_a_stream(spark, sf, tmp_path):
     u = updates(spark, sf)
     u.write.parquet(str(tmp_path / "in"))
