@@ -102,12 +102,12 @@ def json_doc(spark, sf):
     return spark.read.schema("status string, n bigint, mean_price double").json(path)
 
 
-# a run per (user, day); its result row holds the day's counts
+# a report per kind of event, a run per day; a run's rows hold the users' counts of that day
 RUNS_SQL = """
 WITH runs AS (
-  SELECT user_id AS report_id, strftime(ts, '%Y%m%d') AS run_id, count(*) AS n_events,
+  SELECT event_type AS report_id, strftime(ts, '%Y%m%d') AS run_id, user_id, count(*) AS n_events,
          round(sum(value), 2) AS total
-  FROM events GROUP BY 1, 2)
+  FROM events GROUP BY 1, 2, 3)
 """
 
 
@@ -116,20 +116,21 @@ WITH runs AS (
     RUNS_SQL
     + """
 , newest AS (SELECT report_id, max(run_id) AS run_id FROM runs GROUP BY 1)
-SELECT r.report_id, r.run_id, r.n_events, r.total FROM runs r JOIN newest USING (report_id, run_id)
+SELECT r.report_id, r.run_id, r.user_id, r.n_events, r.total FROM runs r JOIN newest USING (report_id, run_id)
 """,
 )
 def archive(spark, sf):
-    runs = (
-        table(spark, sf, "events")
-        .groupBy(F.col("user_id").alias("report_id"), F.date_format("ts", "yyyyMMdd").alias("run_id"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
-    )
+    events = table(spark, sf, "events")
+    runs = events.groupBy(
+        F.col("event_type").alias("report_id"), F.date_format("ts", "yyyyMMdd").alias("run_id"), "user_id"
+    ).agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
     path = scratch_path(spark, "runs")
-    # days are the run ids here: partition on their month to keep the file count small
-    runs.withColumn("month", F.substring("run_id", 1, 6)).write.partitionBy("month").parquet(path)
-    back = spark.read.parquet(path).select("report_id", "run_id", "n_events", "total")
-    return rounded(io.current_run(back), 2)
+    # two appends, as runs come in: the second half of the month joins what is there
+    early = F.substring("run_id", 7, 2) <= "15"
+    for part in (runs.where(early), runs.where(~early)):
+        io.append_run(part.repartition("report_id", "run_id"), path)
+    back = spark.read.schema("user_id bigint, n_events bigint, total double, report_id string, run_id string").parquet(path)
+    return rounded(io.current_run(back).select("report_id", "run_id", "user_id", "n_events", "total"), 2)
 
 
 @query(
