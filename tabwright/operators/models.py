@@ -34,6 +34,7 @@ from tabwright.functions.exprs import c
 from tabwright.functions.ordering import ranked_by_hash
 from tabwright.operators.boosting import Booster, BoostOptions, fit_booster
 from tabwright.operators.neighbours import nearest
+from tabwright.operators.network import Network, NetworkOptions, fit_network
 from tabwright.operators.sampling import oversample, undersample
 from tabwright.operators.scale import Scaler, fit_scaler
 from tabwright.operators.trees import Forest
@@ -55,8 +56,8 @@ def tree_depth(wanted: Any) -> int:
 def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, seed: int = 42):
     """Spark ML estimator of a model name, with its default settings where ``params`` is silent.
 
-    No counterpart exists for a minimum split size, the network's L2 penalty or,
-    with its l-bfgs solver, the network's first learning rate.
+    No counterpart exists for a minimum split size. The network here is the l-bfgs
+    one (``solver="lbfgs"``); fit_model trains all others by mini-batches.
     """
     p = dict(params)
     depth = lambda default: tree_depth(p.get("max_depth", default))
@@ -103,6 +104,25 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
     raise ValueError(f"Unknown model: {name}")
 
 
+def network_options(params: dict[str, Any], seed: int = 42) -> NetworkOptions:
+    """Settings of the mini-batch network by their usual names; a solver other than Adam or l-bfgs is an error."""
+    p = dict(params)
+    if p.get("solver", "adam") != "adam":
+        raise ValueError(f"unknown solver {p['solver']!r}: adam or lbfgs")
+    return NetworkOptions(
+        hidden=tuple(int(h) for h in p.get("hidden_layer_sizes", (100,))),
+        rate=float(p.get("learning_rate_init", 1e-3)),
+        l2=float(p.get("alpha", 1e-4)),
+        batch=int(p.get("batch_size", 200)),
+        max_epochs=int(p.get("max_iter", 500)),
+        tolerance=float(p.get("tol", 1e-4)),
+        patience=int(p.get("n_iter_no_change", 10)),
+        early_stopping=bool(p.get("early_stopping", False)),
+        held_back=float(p.get("validation_fraction", 0.1)),
+        seed=seed,
+    )
+
+
 def boost_options(name: str, params: dict[str, Any], n: int, seed: int = 42) -> BoostOptions:
     """Settings of a histogram booster by model name."""
     p = dict(params)
@@ -161,8 +181,8 @@ class FittedModel:
         """Adds ``prediction`` (int) and ``prob`` (array) to rows holding ``v``."""
         if self.points is not None:
             return self._vote(df, row_id)
-        if isinstance(self.stage, Booster):
-            return df.withColumn("prob", _booster_scores(self.stage)("v")).withColumn(
+        if isinstance(self.stage, (Booster, Network)):
+            return df.withColumn("prob", _array_scores(self.stage)("v")).withColumn(
                 "prediction", (F.array_position("prob", F.array_max("prob")) - 1).cast("int")
             ).select(*[c(x) for x in df.columns], "prediction", "prob")
         have = df.columns
@@ -222,6 +242,8 @@ class FittedModel:
         ).text(f"{path}/meta")
         if isinstance(self.stage, Booster):
             _save_booster(self.stage, f"{path}/stage", spark)
+        elif isinstance(self.stage, Network):
+            _save_network(self.stage, f"{path}/stage", spark)
         elif self.stage is not None:
             self.stage.write().overwrite().save(f"{path}/stage")
         else:
@@ -237,6 +259,8 @@ class FittedModel:
         stage = points = None
         if meta["stage"] == "Booster":
             stage = _load_booster(f"{path}/stage", spark)
+        elif meta["stage"] == "Network":
+            stage = _load_network(f"{path}/stage", spark)
         elif meta["stage"]:
             stage = _STAGES[meta["stage"]].load(f"{path}/stage")
         else:
@@ -246,14 +270,14 @@ class FittedModel:
         return cls(meta["name"], columns, meta["n_classes"], scaler, stage, points, meta["k"], codes)
 
 
-def _booster_scores(booster: Booster):
+def _array_scores(model: Booster | Network):
     """Column function from feature arrays to class probabilities."""
 
     @F.pandas_udf("array<double>")
     def prob(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(booster.probabilities(np.vstack(v.to_numpy()).astype(float))))
+        return pd.Series(list(model.probabilities(np.vstack(v.to_numpy()).astype(float))))
 
     return prob
 
@@ -283,6 +307,21 @@ def _load_booster(path: str, spark: SparkSession) -> Booster:
     return Booster(base, forest, facts["rounds"], [tuple(x) for x in facts["losses"]])
 
 
+def _save_network(net: Network, path: str, spark: SparkSession) -> None:
+    """A row per layer: sizes, weights by input and offsets."""
+    rows = [(i, *w.shape, w.ravel().tolist(), b.tolist(), net.epochs, net.losses) for i, (w, b) in enumerate(zip(net.weights, net.offsets, strict=True))]
+    schema = "layer int, inputs int, outputs int, weights array<double>, offsets array<double>, epochs int, losses array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _load_network(path: str, spark: SparkSession) -> Network:
+    rows = spark.read.parquet(path).orderBy("layer").collect()
+    return Network(
+        [np.array(r["weights"], float).reshape(r["inputs"], r["outputs"]) for r in rows],
+        [np.array(r["offsets"], float) for r in rows], rows[0]["epochs"], list(rows[0]["losses"]),
+    )
+
+
 _STAGES: dict[str, Any] = {
     m.__name__: m
     for m in (
@@ -331,6 +370,10 @@ def fit_model(
         rows = vec.select(F.xxhash64(c(row_id).cast("string")).alias("key"), "label", "v")
         out.stage = fit_booster(rows, len(columns), k, boost_options(name, params, int(facts["n"]), seed))
         return out
+    if name == "neuralnetwork" and params.get("solver", "adam") != "lbfgs":
+        rows = vec.select(F.xxhash64(c(row_id).cast("string")).alias("key"), "label", "v")
+        out.stage = fit_network(rows, len(columns), k, network_options(params, seed))
+        return out
     if params.get("validation_fraction") and name == "gradientboosting":
         share = float(params["validation_fraction"])
         vec = ranked_by_hash(vec, seed, [row_id], by=["label"], out="__r")
