@@ -57,7 +57,7 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
     """Spark ML estimator of a model name, with its default settings where ``params`` is silent.
 
     No counterpart exists for a minimum split size. The network here is the l-bfgs
-    one (``solver="lbfgs"``); fit_model trains all others by mini-batches.
+    one, which reads no learning rate or penalty; see ``by_batches``.
     """
     p = dict(params)
     depth = lambda default: tree_depth(p.get("max_depth", default))
@@ -104,11 +104,21 @@ def make_estimator(name: str, params: dict[str, Any], n: int, d: int, k: int, se
     raise ValueError(f"Unknown model: {name}")
 
 
+#: settings that only the mini-batch network reads
+BATCH_SETTINGS = {"learning_rate_init", "alpha", "batch_size", "early_stopping", "validation_fraction", "n_iter_no_change", "tol"}
+
+
+def by_batches(params: dict[str, Any]) -> bool:
+    """Whether a network is trained by mini-batches: ``solver="adam"``, or no solver but a setting only that one reads."""
+    solver = params.get("solver", "adam" if BATCH_SETTINGS & params.keys() else "lbfgs")
+    if solver not in ("adam", "lbfgs"):
+        raise ValueError(f"unknown solver {solver!r}: adam or lbfgs")
+    return solver == "adam"
+
+
 def network_options(params: dict[str, Any], seed: int = 42) -> NetworkOptions:
-    """Settings of the mini-batch network by their usual names; a solver other than Adam or l-bfgs is an error."""
+    """Settings of the mini-batch network by their usual names."""
     p = dict(params)
-    if p.get("solver", "adam") != "adam":
-        raise ValueError(f"unknown solver {p['solver']!r}: adam or lbfgs")
     return NetworkOptions(
         hidden=tuple(int(h) for h in p.get("hidden_layer_sizes", (100,))),
         rate=float(p.get("learning_rate_init", 1e-3)),
@@ -370,7 +380,7 @@ def fit_model(
         rows = vec.select(F.xxhash64(c(row_id).cast("string")).alias("key"), "label", "v")
         out.stage = fit_booster(rows, len(columns), k, boost_options(name, params, int(facts["n"]), seed))
         return out
-    if name == "neuralnetwork" and params.get("solver", "adam") != "lbfgs":
+    if name == "neuralnetwork" and by_batches(params):
         rows = vec.select(F.xxhash64(c(row_id).cast("string")).alias("key"), "label", "v")
         out.stage = fit_network(rows, len(columns), k, network_options(params, seed))
         return out

@@ -149,6 +149,11 @@ def network(spark, sf):
     return fitted("neuralnetwork", document_rows(spark, sf), DOC_FEATURES)
 
 
+@query("f9_neural_network_batches")
+def network_batches(spark, sf):
+    return fitted("neuralnetwork", document_rows(spark, sf), DOC_FEATURES, {"solver": "adam"})
+
+
 @query("f1_random_forest_separable", TWO_SQL + FOUND_SQL)
 def random_forest_separable(spark, sf):
     return told_apart("randomforest", nation_rows(spark, sf))
