@@ -1,16 +1,17 @@
 """Secret scans: known key formats plus sliding-window entropy over candidate strings.
 
-Candidates are long unbroken strings that mix digits and letters. Per character
-class a window moves over the string with its character counts kept up to date,
-one out and one in, so each step costs the same whatever the window. Windows at
-or above the class's entropy are joined into a span; spans on the allow list or
-inside a known format are suppressed.
+Candidates are long unbroken strings. Per character class a window moves over the
+string with its character counts kept up to date, one out and one in, so each step
+costs the same whatever the window. Windows at or above the class's entropy are
+joined into a span. What a known format covers is cut from the span; a rest that
+the allow list matches nearly whole, or that reads like words, is suppressed.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,20 @@ CLASSES = {
     "hex": (re.compile(rb"[0-9a-f]+|[0-9A-F]+"), 24, 3.2),
     "base64": (re.compile(rb"[A-Za-z0-9+/_-]+={0,2}"), 20, 3.9),
 }
+#: Listed strings, each by itself: ids, placeholder words, and words joined by separators.
 ALLOW = (
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(rb"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|1234567|abcdef|lorem"),
-    re.compile(rb"(?i)^sha\d*[-:=]"),
-    re.compile(rb"^[A-Z]?[a-z]+(?:[-_/.+][A-Z]?[a-z]+)*[-_/.+]?\d{0,4}$"),
+    re.compile(rb"(?i)(?:example|sample|dummy|placeholder|changeme|your|x{4,}|1234567(?:89?0?)?|abcdef(?:g(?:hi?)?)?|lorem|key|secret|token|[-_])+"),
+    re.compile(rb"[-_/.+]?(?:[A-Z]?[a-z]+[-_/.+]+)*[A-Z]?[a-z]+[-_/.+]?\d{0,4}"),
 )
+#: a word that marks the letters and digits it is joined to as no secret; what a separator parts from it is looked at
+MARKED = re.compile(rb"(?i)[a-z0-9]*(?:example|sample|dummy|placeholder|changeme|lorem)[a-z0-9]*")
+#: a checksum says what it is
+CHECKSUM = re.compile(rb"(?i)sha\d*[-:=]")
+#: share of a span that listed strings must match to suppress it
+LISTED = 0.8
+#: fewest characters of a span's part beside a known format
+LEAST_PART = 8
 CANDIDATE = np.zeros(256, bool)
 CANDIDATE[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", np.uint8)] = True
 SHORTEST = min(w for _, w, _ in CLASSES.values())
@@ -70,26 +79,72 @@ def entropic(text: bytes, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+KIND_OF = np.zeros(256, np.int8)
+KIND_OF[ord("a") : ord("z") + 1] = 1
+KIND_OF[ord("A") : ord("Z") + 1] = 2
+KIND_OF[ord("0") : ord("9") + 1] = 3
+
+
 def mixes(text: bytes) -> bool:
-    """Digits on at least two places, letters too."""
-    return sum(48 <= x <= 57 for x in text) >= 2 and any(x >= 65 and x not in b"_" for x in text)
+    """Letters with two digits or more, or kinds of character that change too often for words."""
+    kind = KIND_OF[np.frombuffer(text, np.uint8)]
+    if not ((kind == 1) | (kind == 2)).any():
+        return False
+    changes = np.count_nonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
+    return np.count_nonzero(kind == 3) >= 2 or 5 * changes >= 2 * len(text)
+
+
+def listed(text: bytes) -> bool:
+    """Whether strings of one pattern of the allow list make up (nearly) all of ``text``."""
+    return any(sum(m.end() - m.start() for m in p.finditer(text) if m.end() - m.start() >= 4) >= LISTED * len(text) for p in ALLOW)
+
+
+def uncovered(a: int, b: int, known: list[list[int]]) -> list[tuple[int, int]]:
+    """The parts of [a, b) outside sorted, disjoint spans."""
+    out = []
+    for s, e in known[bisect_right(known, a, key=lambda k: k[1]) :]:
+        if s >= b:
+            break
+        if a < s:
+            out.append((a, s))
+        a = max(a, e)
+    if a < b:
+        out.append((a, b))
+    return out
 
 
-def method_spans(run: bytes) -> list[tuple[int, int]]:
-    """Spans in one candidate string that look random."""
-    if not mixes(run) or any(p.search(run) for p in ALLOW):
+def method_spans(run: bytes, known: list[list[int]] = ()) -> list[tuple[int, int]]:
+    """Spans in one candidate string that look random; ``known`` are the places in it of known formats."""
+    if CHECKSUM.match(run):
         return []
     found: list[tuple[int, int]] = []
     for chars, window, bits in CLASSES.values():
         for m in chars.finditer(run):
-            if mixes(m[0]):
+            if m.end() - m.start() >= window:
                 found += [(m.start() + a, m.start() + b) for a, b in entropic(m[0], window, bits)]
-    out: list[tuple[int, int]] = []
+    joined: list[list[int]] = []
     for a, b in sorted(found):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    # ids and marked strings stand for themselves; what is beside them is looked at alone
+    ids = [[m.start(), m.end()] for p in (ALLOW[0], MARKED) for m in p.finditer(run)]
+    cut = merged(sorted([*map(list, known), *ids]))
+    return [
+        (x, y) for a, b in joined for x, y in uncovered(a, b, cut)
+        if (y - x >= LEAST_PART) and mixes(run[x:y]) and not listed(run[x:y])
+    ]
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted spans with overlapping ones made one."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
         else:
-            out.append((a, b))
+            out.append([s, e])
     return out
 
 
@@ -121,13 +176,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch["text"].to_pylist()
         data, offsets = buffer_of(batch["text"])
         spans = [known_spans(t) for t in texts]
+        taken = [merged(sorted([s, e] for s, e, _ in x)) for x in spans]
         for a, b in zip(*candidates(data, offsets), strict=True):
             d = int(np.searchsorted(offsets, a, "right")) - 1
             at = int(a - offsets[d])
-            for x, y in method_spans(data[a:b].tobytes()):
-                x, y = x + at, y + at
-                if not any(s < y and x < e for s, e, _ in spans[d]):
-                    spans[d].append((x, y, "entropy"))
+            first, end = (bisect_right(taken[d], v, key=k) for v, k in ((at, lambda s: s[1]), (at + int(b - a) - 1, lambda s: s[0])))
+            inside = [[max(s - at, 0), e - at] for s, e in taken[d][first:end]]
+            spans[d] += [(x + at, y + at, "entropy") for x, y in method_spans(data[a:b].tobytes(), inside)]
         out = []
         for text, found in zip(texts, spans, strict=True):
             if found:
@@ -144,7 +199,8 @@ def secret_spans(docs: DataFrame, *keep: str, id_col: str = "doc_id", text_col:
     """(id, kept columns, spans) of every row (see text.kept_column); spans are (kind, start, end) in code points, by start, then kind.
 
     Kinds are assign, access and hex (known formats) and entropy (the method's
-    own, never overlapping a known one). A null or empty text has none; repeated
+    own, cut where a known one lies). Work grows with the text, however many
+    spans it has and however long it is. A null or empty text has none; repeated
     rows are scanned each; only the id, the text and ``keep`` are read.
     """
     d = with_kept(docs, id_col, text_col, keep)
