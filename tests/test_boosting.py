@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,25 @@ def test_flat_forests_score_as_spark_does(spark, five):
         share = s[:, 1] if name == "randomforest" else 1 / (1 + np.exp(-s[:, 0]))
         np.testing.assert_allclose(share, [r["prob"][1] for r in p], atol=1e-9)
     assert spark_forest(M.fit_model("logisticregression", five, names, "y", "row_id").stage, 5, spark) is None
+
+
+def test_cores_share_the_rows_and_partitions_stay_bounded():
+    assert B.partitions(120_000 * 4, 12) == 8  # was one task for all rows
+    assert B.partitions(1000, 12) == 1
+    assert B.partitions(10 * B.PART_CELLS, 4) == 10
+
+
+def test_rows_are_read_out_of_sliced_batches():
+    bins, margins = np.arange(20, dtype=np.uint8).reshape(10, 2), np.arange(30.0).reshape(10, 3)
+    columns = [range(10), [1] * 10, [False] * 10, [x.tobytes() for x in bins], [x.tobytes() for x in margins]]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "label", "held", "bins", "margins"])
+    *_, b, m = B.rows_of(batch.slice(3, 4), 2, 3)
+    assert np.array_equal(b, bins[3:7]) and np.array_equal(m, margins[3:7])
+
+
+def test_rows_walk_to_leaves_of_uneven_depth():
+    tree = tuple(np.array(x) for x in ([0, -1, 1, -1, -1], [4, 0, 2, 0, 0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1]))
+    bins = np.array([[4, 9], [5, 2], [5, 3], [0, 0]], np.uint8)
+    assert B.walk(tree, bins).tolist() == [1, 3, 4, 1]
+    assert B.walk(tuple(np.array(x) for x in ([-1], [0], [-1], [-1])), bins).tolist() == [0] * 4
