@@ -26,6 +26,8 @@ from tabwright.functions.exprs import c
 #: bytes of members that are written as one line, and lines of an archive: an archive has about 32 MB
 BUNDLE_BYTES = 4 << 20
 ARCHIVE_BUNDLES = 8
+#: rows copied out of an Arrow batch at a time
+ROWS_OUT = 16
 #: compressed bytes read, and plain bytes produced, at a time
 STEP = 1 << 16
 #: a longer header block is taken for damage
@@ -91,7 +93,8 @@ def archiving(date: str, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, parts, size = 0, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            # a batch holds up to 64 MB of payloads; only a few rows at a time are copied out of it
+            for row in (r for i in range(0, batch.num_rows, ROWS_OUT) for r in batch.slice(i, ROWS_OUT).to_pylist()):
                 if not parts and lines % ARCHIVE_BUNDLES == 0:
                     parts.append(member(opening(date)))
                 kind = "response" if row["first"] is None else "revisit"

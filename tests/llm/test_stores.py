@@ -153,3 +153,23 @@ def test_outputs_of_many_frames(spark):
     for r in got.collect():
         assert brute.sha(r["output"]) == r["output_sha256"]
         assert b"".join(frames.restored(r["output"].encode(), r["form"])).decode() == dict(docs)[r["doc_id"]]
+
+
+def test_the_writer_copies_few_rows_of_a_batch_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tabwright.llm import warc
+
+    n = 1500
+    rows = {"page": [str(i) for i in range(n)], "url": ["u"] * n, "payload": [bytes([i % 251]) * 20_000 for i in range(n)], "first": [None] * n}
+    batch = pa.RecordBatch.from_pydict(rows, pa.schema([("page", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("first", pa.string())]))
+    del rows
+    tracemalloc.start()
+    try:
+        written = sum(out.num_rows for out in warc.archiving("1970-01-01T00:00:00Z", 1 << 16)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert written and peak < 6_000_000  # the payloads are 30 MB
