@@ -120,3 +120,20 @@ def test_kmeans_and_density_find_blobs(spark):
     noise = C.density_clusters(df, ["x", "y"], "id", 1e-6)
     assert noise.select("label").distinct().collect()[0][0] == -1
     assert pure(C.hierarchical_density_clusters(df, ["x", "y"], "id", 8), df)
+
+
+def test_a_block_of_distances_holds_no_second_block():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(1500, 3)), rng.normal(size=(1600, 3))
+    b[:10] = a[:10]
+    tracemalloc.start()
+    try:
+        d = N.distances(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * d.nbytes
+    assert np.array_equal(d, np.sqrt(((a[:, None] - b[None]) ** 2).cumsum(-1)[..., -1])) and not d[range(10), range(10)].any()
+    assert np.array_equal(N.within(a, b, 1.5), d <= 1.5)
