@@ -246,3 +246,52 @@ def test_rows_walk_to_leaves_of_uneven_depth():
     bins = np.array([[4, 9], [5, 2], [5, 3], [0, 0]], np.uint8)
     assert B.walk(tree, bins).tolist() == [1, 3, 4, 1]
     assert B.walk(tuple(np.array(x) for x in ([-1], [0], [-1], [-1])), bins).tolist() == [0] * 4
+
+
+def grid_forest(rng, trees=6, features=3, steps=5, outputs=2, depth=5):
+    """Trees whose thresholds lie on a small grid, as binned trees have them."""
+    roots, feature, threshold, left, right, value, cover = [], [], [], [], [], [], []
+
+    def grow(depth, rows):
+        at = len(feature)
+        for column, start in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, np.zeros(outputs)), (cover, rows)):
+            column.append(start)
+        if not depth or rows < 2:
+            value[at] = rng.normal(size=outputs)
+            return at
+        feature[at], threshold[at] = int(rng.integers(features)), float(rng.integers(steps))
+        kept = float(rng.integers(1, int(rows)))
+        left[at] = grow(depth - 1, kept)
+        right[at] = grow(depth - 1, rows - kept)
+        return at
+
+    for _ in range(trees):
+        roots.append(grow(depth, 200.0))
+    return Forest(
+        np.array(roots), np.array(feature), np.array(threshold), np.array(left), np.array(right),
+        np.vstack(value), np.array(cover, float), features + 1,
+    )
+
+
+def test_cell_tables_equal_the_leaf_by_leaf_attributions():
+    rng = np.random.default_rng(5)
+    forest = grid_forest(rng)
+    x = np.hstack([rng.integers(-1, 6, (400, 3)) + rng.choice([0.0, 0.5], (400, 3)), rng.normal(size=(400, 1))])
+    x[::7, 1] = np.nan
+    cells = forest.cells
+    np.testing.assert_allclose(cells.shapley(x), forest.shapley(x), atol=1e-12)
+    np.testing.assert_allclose(cells.shapley(x).sum(axis=1), forest.scores(x) - forest.expected, atol=1e-12)
+    lone = Forest(np.array([0]), np.array([-1]), np.zeros(1), np.array([-1]), np.array([-1]), np.ones((1, 2)), np.ones(1), 2)
+    assert not lone.cells.shapley(np.zeros((3, 2))).any()
+
+
+def test_cell_tables_are_left_out_when_they_would_be_large():
+    rng = np.random.default_rng(6)
+    n = 4000
+    split = np.arange(n) * 3
+    feature = np.full(3 * n, -1)
+    feature[split] = np.arange(n) % 4
+    left, right = np.full(3 * n, -1), np.full(3 * n, -1)
+    left[split], right[split] = split + 1, split + 2
+    stumps = Forest(split, feature, rng.normal(size=3 * n), left, right, np.where(feature < 0, 1.0, 0.0)[:, None], np.where(feature < 0, 1.0, 2.0), 4)
+    assert stumps.cells is None
