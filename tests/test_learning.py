@@ -428,3 +428,21 @@ def test_tuning_survives_and_reports_failures(spark, monkeypatch):
     monkeypatch.setattr(G, "cluster_labels", lambda *a, **k: 1 / 0)
     with pytest.raises(RuntimeError, match="all 2 trials"):
         G.tune("kmeans", rows, ["a", "b"], None, "row_id", "silhouette_score", n_iter=2)
+
+
+@pytest.mark.parametrize("name", ["logisticregression", "randomforest"])
+def test_fit_and_retest_compute_their_rows_once(spark, name):
+    """Training and re-test rows may be dear to make: each is made once, however often it is read."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def dear(i):
+        made.add(1)
+        return float(i % 7)
+
+    ids = spark.range(0, 140, 1, 2)
+    rows = ids.select(F.col("id").alias("row_id"), (F.col("id") % 7 > 3).cast("int").alias("y"), dear("id").alias("a"))
+    model = M.fit_model(name, rows, ["a"], "y", "row_id", {"n_estimators": 3})
+    assert made.value == 140
+    SC.retest_metrics([model, model], rows, "y", "row_id").collect()
+    assert made.value == 280
