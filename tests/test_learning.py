@@ -446,3 +446,8 @@ def test_fit_and_retest_compute_their_rows_once(spark, name):
     assert made.value == 140
     SC.retest_metrics([model, model], rows, "y", "row_id").collect()
     assert made.value == 280
+
+
+@pytest.mark.parametrize("name", ["randomforest", "bagging"])
+def test_forests_keep_the_node_of_a_row(spark, name):
+    assert M.make_estimator(name, {}, 100, 2, 2).getCacheNodeIds()
