@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,21 @@ def test_a_block_of_distances_holds_no_second_block():
     assert peak < 1.5 * d.nbytes
     assert np.array_equal(d, np.sqrt(((a[:, None] - b[None]) ** 2).cumsum(-1)[..., -1])) and not d[range(10), range(10)].any()
     assert np.array_equal(N.within(a, b, 1.5), d <= 1.5)
+
+
+def test_rows_for_open_cells_come_in_bounded_frames(monkeypatch):
+    monkeypatch.setattr(N, "SPREAD_BYTES", 8 * 4 * 50)
+    b = pd.DataFrame({"id": range(40), "v": [np.full(4, float(i)) for i in range(40)]})
+    ok = np.arange(40 * 30).reshape(40, 30) % 3 > 0
+    frames = list(N.per_open_cell(b, ok))
+    assert len(frames) > 1 and max(map(len, frames)) <= 50
+    whole = pd.concat(frames)
+    assert [*zip(whole["id"], whole["cell"])] == [*zip(*np.nonzero(ok))]
+    assert all((v == i).all() for i, v in zip(whole["id"], whole["v"]))
+
+
+def test_cells_hold_a_block_of_points(spark):
+    """A query is sent to each open cell: no more cells than blocks, so that rows sent do not grow with √n as well."""
+    n = 3 * N.BLOCK_ROWS - 1
+    pts = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    assert len(N.choose_pivots(pts)) == 3
