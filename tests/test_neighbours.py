@@ -140,6 +140,17 @@ def test_a_block_of_distances_holds_no_second_block():
     assert np.array_equal(N.within(a, b, 1.5), d <= 1.5)
 
 
+def test_far_groups_need_no_iteration(spark):
+    """Three chains: within one round of one multiplication only known eigenvectors settle."""
+    rows = [(i, [float(i // 3), 1000.0 * (i % 3)]) for i in range(180)]
+    pts = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["u"] for r in C.spectral_embedding(pts, 3, n_neighbors=4, rounds=1, blocks=1, tol=1e-9).collect()}
+    u = np.array([got[i] for i in range(180)])
+    for g in range(3):
+        np.testing.assert_allclose(u[g::3], np.tile(u[g], (60, 1)), atol=1e-9)
+    assert np.linalg.matrix_rank(u, tol=1e-6) == 3
+
+
 def test_rows_for_open_cells_come_in_bounded_frames(monkeypatch):
     monkeypatch.setattr(N, "SPREAD_BYTES", 8 * 4 * 50)
     b = pd.DataFrame({"id": range(40), "v": [np.full(4, float(i)) for i in range(40)]})
