@@ -19,9 +19,13 @@ BYTE_ORDER_MARKS = {
 }
 
 
-def guess_encoding(raw: bytes) -> str:
-    """Charset of one file's whole content; utf-8 when nothing better is known."""
-    for mark, name in BYTE_ORDER_MARKS.items():
+#: bytes of a file judged at a time
+PIECE_BYTES = 1 << 24
+
+
+def guess_encoding(raw: bytes, marked: bool = True) -> str:
+    """Charset of a file's content, or of a piece of it (not ``marked``); utf-8 when nothing better is known."""
+    for mark, name in BYTE_ORDER_MARKS.items() if marked else ():
         if raw.startswith(mark):
             return name
     try:
@@ -36,15 +40,54 @@ def guess_encoding(raw: bytes) -> str:
     return (detect(raw) or {}).get("encoding") or "utf-8"
 
 
+def _judged_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, start, value) lines in file order -> one row per piece: (file, head, encoding, n), n its bytes with line ends.
+
+    ``head`` is the encoding a byte-order mark announces, on a file's first piece only.
+    """
+    at, lines, size, first = None, [], 0, True
+
+    def piece() -> pd.DataFrame:
+        raw = b"\n".join(lines)
+        marks = [name for mark, name in BYTE_ORDER_MARKS.items() if raw.startswith(mark)]
+        head = marks[0] if first and at[1] == 0 and marks else None
+        return pd.DataFrame({"file": [at[0]], "head": [head], "encoding": [guess_encoding(raw, marked=False)], "n": [size]})
+
+    for batch in batches:
+        for file, start, value in zip(batch["file"], batch["start"], batch["value"], strict=True):
+            if at != (file, start) or size + len(value) > PIECE_BYTES:
+                if lines:
+                    yield piece()
+                at, lines, size, first = (file, start), [], 0, at != (file, start)
+            lines.append(value)
+            size += len(value) + 1
+    if lines:
+        yield piece()
+
+
 def detect_file_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) for every file below ``path``; each file is judged in one task."""
+    """(path, encoding) for every file below ``path``, judged in pieces of whole lines; a large file is many tasks' work.
+
+    A byte-order mark decides; else a file is utf-8 if every piece is, or what
+    most bytes of its other pieces are taken for.
+    """
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "encoding": b["content"].map(guess_encoding)})
+    def read(kind: str):
+        return spark.read.format(kind).option("recursiveFileLookup", True)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(judge, "path string, encoding string")
+    # the content is not among the columns and so never read here
+    files = read("binaryFile").load(path).select("path", "length", F.col("_metadata.file_path").alias("file"))
+    lines = read("text").option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value")
+    )
+    pieces = lines.mapInPandas(_judged_pieces, "file string, head string, encoding string, n bigint")
+    votes = pieces.groupBy("file", "encoding").agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+    other = F.when(F.col("encoding") != "utf-8", F.struct("n", "encoding"))
+    found = votes.groupBy("file").agg(F.max("head").alias("head"), F.max(other)["encoding"].alias("other"), F.sum("n").alias("n"))
+    # the line reader drops the mark of utf-8: then the lines fall short of the file's length
+    packed = F.lower("path").rlike(r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$")
+    short = F.when((F.coalesce("n", F.lit(0)) <= F.col("length") - 2) & ~packed & F.col("head").isNull(), "utf-8-sig")
+    return files.join(found, "file", "left").select("path", F.coalesce("head", short, "other", F.lit("utf-8")).alias("encoding"))
 
 
 def read_table_csv(

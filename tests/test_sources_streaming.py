@@ -1,6 +1,7 @@
 import datetime
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,25 @@ def test_files_in_different_encodings(spark, tmp_path):
     assert df.count() == 23
 
 
+def test_large_files_are_judged_in_pieces(spark, tmp_path, monkeypatch):
+    """No piece holds a whole file, every line is looked at, and marks count as before."""
+    monkeypatch.setattr(io, "PIECE_BYTES", 4000)
+    lines = [b"%d,plain text" % i for i in range(2000)]
+    pieces = list(io._judged_pieces(iter([pd.DataFrame({"file": "f", "start": 0, "value": lines})])))
+    assert len(pieces) > 5 and sum(int(p["n"][0]) for p in pieces) == sum(len(x) + 1 for x in lines)
+    late = "\n".join(["only plain words here"] * 30000 + ["Größe café déjà vu naïve über Straße"] * 20)
+    data = {
+        "late.csv": late.encode("cp1252"), "utf.csv": late.encode("utf-8"), "mark.csv": b"\xef\xbb\xbf" + late.encode(), "short.csv": b"\xef\xbb\xbf",
+        "wide.csv": late.encode("utf-16"), "big.csv": b"\xfe\xff" + late.encode("utf-16-be"), "a b.csv": b"x\n\xff\xfey\n" * 3,
+    }
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    found = {r["path"].split("/")[-1]: r["encoding"] for r in io.detect_file_encoding(spark, str(tmp_path)).collect()}
+    wanted = {"utf.csv": "utf-8", "mark.csv": "utf-8-sig", "short.csv": "utf-8-sig", "wide.csv": "utf-16", "big.csv": "utf-16"}
+    assert set(found) == set(data) and {k: found[k] for k in wanted} == wanted
+    assert found["late.csv"] not in ("utf-8", "utf-16") and found["a b.csv"] != "utf-16"
+
+
 def test_runs_are_kept_and_read_alone(spark, tmp_path):
     path = str(tmp_path / "runs")
     for run in ("a", "b"):
