@@ -162,8 +162,15 @@ def test_rows_for_open_cells_come_in_bounded_frames(monkeypatch):
     assert all((v == i).all() for i, v in zip(whole["id"], whole["v"]))
 
 
-def test_cells_hold_a_block_of_points(spark):
-    """A query is sent to each open cell: no more cells than blocks, so that rows sent do not grow with √n as well."""
-    n = 3 * N.BLOCK_ROWS - 1
-    pts = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("v"))
-    assert len(N.choose_pivots(pts)) == 3
+def test_far_groups_with_repeated_ids_settle(spark, monkeypatch):
+    """Ids may repeat: the known vectors are left aside and the iteration answers as before."""
+    taken = []
+    known = C._averaged
+    monkeypatch.setattr(C, "_averaged", lambda *a: taken.append(1) or known(*a))
+    rows = [(i, [float(i // 3 % 4), 1000.0 * (i % 3)]) for i in range(30)] + [(4, [1.0, 1000.0])]
+    pts = spark.createDataFrame(rows, "id long, v array<double>")
+    try:
+        C.spectral_embedding(pts, 3, n_neighbors=4, rounds=1, blocks=1)
+    except C.NotSettled:
+        pass
+    assert not taken
