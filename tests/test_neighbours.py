@@ -174,3 +174,24 @@ def test_far_groups_with_repeated_ids_settle(spark, monkeypatch):
     except C.NotSettled:
         pass
     assert not taken
+
+
+@pytest.mark.parametrize(("block", "groups"), [(16, 2), (16, 90), (64, 90), (4096, 5)])
+def test_mean_distances_leave_as_a_row_per_point(spark, block, groups):
+    """However many groups and blocks there are; large and small groups, weights, and points without a group."""
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(0, 1, (200, 2)).round(2), rng.integers(1, 4, 200)
+    g = np.where(np.arange(200) % 3 > 0, 0, rng.integers(1, groups, 200))
+    rows = [(int(k) if i >= 5 else None, v.tolist(), int(m)) for i, (k, v, m) in enumerate(zip(g, x, w, strict=True))]
+    df = spark.createDataFrame(rows, "cluster int, v array<double>, w int")
+    got = N.mean_distances(df, "cluster", "w", block)
+    g, x, w = g[5:], x[5:], w[5:]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * w
+    size = {k: w[g == k].sum() for k in set(g)}
+    want = [
+        (round(d[i, g == g[i]].sum(), 8), round(min(d[i, g == k].sum() / size[k] for k in size if k != g[i]), 8), int(size[g[i]]), int(w[i]))
+        for i in range(len(x))
+    ]
+    found = got.where("n_own is not null").collect()
+    assert sorted((round(r["t_own"], 8), round(r["b"], 8), r["n_own"], r["w"]) for r in found) == sorted(want)
+    assert [tuple(r)[:3] for r in got.where("n_own is null").collect()] == [(None, None, None)] * 5
