@@ -451,3 +451,19 @@ def test_fit_and_retest_compute_their_rows_once(spark, name):
 @pytest.mark.parametrize("name", ["randomforest", "bagging"])
 def test_forests_keep_the_node_of_a_row(spark, name):
     assert M.make_estimator(name, {}, 100, 2, 2).getCacheNodeIds()
+
+
+def test_a_linear_fit_on_kept_rows_keeps_no_second_copy(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 2) + i % 3) for i in range(60)], "row_id long, y int, p double, q double").persist()
+    frame, calls = type(rows), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: (calls.append(1), persist(self, *a))[1])
+    kept = M.fit_model("logisticregression", rows, ["p", "q"], "y", "row_id")
+    part = rows.where("row_id < 40")
+    M.fit_model("logisticregression", part, ["p", "q"], "y", "row_id", computed=True)
+    assert not calls
+    M.fit_model("logisticregression", rows, ["p", "q"], "y", "row_id", sample_type=1)  # drawn once, so kept
+    assert len(calls) == 1
+    monkeypatch.undo()
+    fresh = M.fit_model("logisticregression", rows.unpersist(), ["p", "q"], "y", "row_id")
+    assert np.allclose(kept.stage.coefficients.toArray(), fresh.stage.coefficients.toArray())
