@@ -467,3 +467,23 @@ def test_a_linear_fit_on_kept_rows_keeps_no_second_copy(spark, monkeypatch):
     monkeypatch.undo()
     fresh = M.fit_model("logisticregression", rows.unpersist(), ["p", "q"], "y", "row_id")
     assert np.allclose(kept.stage.coefficients.toArray(), fresh.stage.coefficients.toArray())
+
+
+def test_fits_of_a_run_read_written_tables(spark, binary, monkeypatch):
+    """A cached table would hand the plan of split and folds on to every fit: the driver's memory grew with models times folds."""
+    from tabwright.operators import tuning
+    from tabwright.plans import workflow
+
+    plans = []
+
+    def watched(name, rows, *args, **kw):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return M.fit_model(name, rows, *args, **kw)
+
+    monkeypatch.setattr(workflow, "fit_model", watched)
+    monkeypatch.setattr(tuning, "fit_model", watched)
+    opts = TrainingOptions(class_column="y", train_group=("logisticregression",), parameter_tune=False, folds=3)
+    run = train(binary, opts, "row_id")
+    assert len(plans) == 4 and not any(x in p for p in plans for x in ("InMemoryRelation", "Window", "Join"))
+    assert {r["dataset"]: r["n"] for r in run.predictions.groupBy("dataset").agg(F.count("*").alias("n")).collect()} == {"train": 96, "test": 24}
+    assert run.cv.count() == 7
