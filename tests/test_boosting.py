@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -295,3 +296,32 @@ def test_cell_tables_are_left_out_when_they_would_be_large():
     left[split], right[split] = split + 1, split + 2
     stumps = Forest(split, feature, rng.normal(size=3 * n), left, right, np.where(feature < 0, 1.0, 0.0)[:, None], np.where(feature < 0, 1.0, 2.0), 4)
     assert stumps.cells is None
+
+
+def test_rows_travel_in_packed_blocks(spark, monkeypatch):
+    """A pass hands Spark a few blocks, not a row per row; of the written tables only the newest stays."""
+    seen = []
+    grow = B.grow
+
+    def watched(state, *args):
+        seen.append((state.count(), state.inputFiles()))
+        return grow(state, *args)
+
+    monkeypatch.setattr(B, "grow", watched)
+    monkeypatch.setattr(B, "NARROW_ROWS", 500)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 1000)
+    x, y = sample(3000, 2, 3)
+    one = B.fit_booster(rows(spark, x, y), 3, 2, B.BoostOptions(rounds=3, max_depth=3))
+    assert one.rounds == 3 and [n <= 8 for n, _ in seen] == [True] * 3
+    folders = [{f.rsplit("/", 1)[0].removeprefix("file://") for f in files} for _, files in seen]
+    assert [os.path.isdir(f) for (f,) in folders] == [False, False, True]
+
+
+def test_blocks_give_back_their_rows():
+    bins, margins = np.arange(20, dtype=np.uint8).reshape(10, 2), np.arange(30.0).reshape(10, 3)
+    part = lambda a, b: B.packed({"key": np.arange(a, b), "label": np.arange(a, b, dtype=np.int32), "held": np.arange(a, b) == 4, "bins": bins[a:b], "margins": margins[a:b]})
+    batch = pa.Table.from_batches([part(0, 3), part(3, 7), part(7, 10)]).combine_chunks().to_batches()[0].slice(1, 2)
+    key, label, held, b, m = B.rows_of(batch, 2, 3)
+    assert key.tolist() == label.tolist() == list(range(3, 10)) and held.tolist() == [False, True, *[False] * 5]
+    assert np.array_equal(b, bins[3:]) and np.array_equal(m, margins[3:])
+    assert B.rows_of(batch.drop_columns(["key"]), 2, 3)[0] is None
