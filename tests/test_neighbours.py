@@ -195,3 +195,47 @@ def test_mean_distances_leave_as_a_row_per_point(spark, block, groups):
     found = got.where("n_own is not null").collect()
     assert sorted((round(r["t_own"], 8), round(r["b"], 8), r["n_own"], r["w"]) for r in found) == sorted(want)
     assert [tuple(r)[:3] for r in got.where("n_own is null").collect()] == [(None, None, None)] * 5
+
+
+def test_a_small_graph_is_iterated_in_one_task(spark, monkeypatch):
+    """The steps are no jobs of their own, and the answer is that of the distributed steps; ids may repeat."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (70, 3)))]
+    pts = spark.createDataFrame([*rows, rows[4]], "id long, v array<double>")
+    spread_out = C._products
+    monkeypatch.setattr(C, "_products", lambda *a: pytest.fail("a job for a step"))
+    one = C.spectral_embedding(pts, 2, n_neighbors=6, tol=1e-7).toPandas()
+    monkeypatch.setattr(C, "_products", spread_out)
+    monkeypatch.setattr(C, "NARROW_EDGES", -1)
+    many = C.spectral_embedding(pts, 2, n_neighbors=6, tol=1e-7, blocks=8).toPandas()
+    u, v = (np.vstack(x.sort_values("id", kind="stable")["u"].to_numpy()) for x in (one, many))
+    assert sorted(one["id"]) == sorted(many["id"]) and len(u) == 71
+    # each column up to its sign
+    np.testing.assert_allclose(u * np.sign((u * v).sum(axis=0)), v, atol=1e-3)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_products_only_narrow_a_search(far):
+    """Candidates by matrix product hold all nearest, ties included, with distances to the last bit."""
+    rng = np.random.default_rng(2)
+    a = np.round(rng.normal(far, 1, (400, 12)), 1)
+    b = np.vstack([a[:150], a[:60], rng.normal(far, 1, (200, 12))])
+    d = N.distances(a, b, squared=True)
+    edge = np.sort(d, axis=1)[:, 6]
+    found = {(i, j): x for s in N.closest(a, b, 7) for i, j, x in zip(*s, strict=True)}
+    assert all(d[p] == x for p, x in found.items())
+    assert {p for p, x in found.items() if x <= edge[p[0]]} == {*zip(*np.nonzero(d <= edge[:, None]), strict=True)}
+
+
+def test_a_search_without_closed_cells_uses_one_cell(spark, monkeypatch):
+    """In many columns a query went to every cell with all its numbers."""
+    sent = []
+    join = N.block_join
+    monkeypatch.setattr(N, "block_join", lambda q, *a: sent.append(q.count()) or join(q, *a))
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (200, 30))
+    pts = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["point_id"] for r in N.nearest(pts, pts, 4, block=64).collect()}
+    d = N.distances(x, x, squared=True)
+    assert sent == [200]
+    assert got == {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(np.lexsort((range(200), d[i]))[:4])}
