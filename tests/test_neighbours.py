@@ -237,5 +237,34 @@ def test_a_search_without_closed_cells_uses_one_cell(spark, monkeypatch):
     pts = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
     got = {(r["query_id"], r["rank"]): r["point_id"] for r in N.nearest(pts, pts, 4, block=64).collect()}
     d = N.distances(x, x, squared=True)
-    assert sent == [200]
+    assert sent[-1] == 200 and max(sent) == 200
     assert got == {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(np.lexsort((range(200), d[i]))[:4])}
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "one line", "bounded"])
+def test_windows_hold_all_nearest(kind):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (300, 2)), rng.normal(0.5, 1, (500, 2))
+    if kind == "grid":
+        a, b = np.round(a, 0), np.round(b, 0)
+    if kind == "one line":
+        a[:, 0], b[:, 0] = 0.0, 0.0
+    d = N.distances(a, b, squared=True)
+    edge = np.sort(d, axis=1)[:, 4]
+    most = edge * rng.choice([0.5, 1.0, 1.5, np.inf], 300) if kind == "bounded" else np.full(300, np.inf)
+    found = {(i, j): x for s in N.closest(a, b, 5, most) for i, j, x in zip(*s, strict=True)}
+    assert all(d[p] == x for p, x in found.items())
+    assert {p for p, x in found.items() if x <= edge[p[0]]} == {*zip(*np.nonzero(d <= np.minimum(edge, most)[:, None]), strict=True)}
+
+
+def test_other_cells_are_asked_within_the_distance_found_at_home(spark, monkeypatch):
+    """A query used to go to every cell near its pivot's cell."""
+    sent = []
+    join = N.block_join
+    monkeypatch.setattr(N, "block_join", lambda q, *a: sent.append(q.count()) or join(q, *a))
+    x = np.random.default_rng(7).uniform(0, 1, (3000, 2))
+    pts = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["point_id"], r["d2"]) for r in N.nearest(pts, pts, 3).collect()}
+    d = N.distances(x, x, squared=True)
+    assert sent[0] == 3000 and sum(sent) < 2.5 * 3000  # was about 6 cells a query
+    assert got == {(i, r + 1): (int(j), d[i, j]) for i in range(3000) for r, j in enumerate(np.lexsort((range(3000), d[i]))[:3])}
